@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import langid, simhash
+from loomgraph.llm import langid, packing, repeats, simhash, suffixes
 from loomgraph.llm.common import table
 
 
@@ -16,6 +16,28 @@ def third(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 3
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_items") >= suffixes.LEAST_ITEMS).alias("contaminated"),
+    )
+
+
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -28,8 +50,50 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
+    "op4_repeats": op4_repeats,
+    "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+_OP3_SQL = r"""
+WITH folded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+probes AS (
+  SELECT DISTINCT item_id, least(8, len(w)) AS k, array_to_string(w[i:i + 7], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 7) + 1)) AS i FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT k FROM probes),
+grams AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM folded, lengths WHERE len(w) >= k)),
+hits AS (SELECT doc_id, i, grams.k AS k, item_id FROM grams JOIN probes ON grams.k = probes.k AND grams.g = probes.g),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT folded.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM folded LEFT JOIN words ON folded.doc_id = words.doc_id LEFT JOIN found ON folded.doc_id = found.doc_id
+"""
+
+_OP4_SQL = r"""
+WITH split AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT row_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT row_id, w, unnest(range(1, len(w) - 33)) AS i FROM split WHERE len(w) >= 35)),
+often AS (SELECT g FROM runs GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT row_id, unnest(range(i, i + 35)) AS p FROM runs WHERE g IN (SELECT g FROM often)),
+places AS (SELECT row_id, list(p) AS ps FROM gone GROUP BY row_id),
+left_over AS (
+  SELECT split.row_id, string_agg(w[p], ' ' ORDER BY p) AS kept
+  FROM (SELECT row_id, w, unnest(range(1, len(w) + 1)) AS p FROM split) split
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.row_id = split.row_id AND gone.p = split.p) GROUP BY split.row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN places ON split.row_id = places.row_id LEFT JOIN left_over ON split.row_id = left_over.row_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_decontamination": _OP3_SQL,
+    "op4_repeats": _OP4_SQL,
+}
