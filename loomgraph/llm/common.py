@@ -78,6 +78,15 @@ def text_size(df: DataFrame, text: str) -> tuple[int, int]:
     return row["n"], row["b"]
 
 
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows whose key has the smallest hash (of equal ones by the other columns); a bounded sample for training.
+    In a large table a threshold that the row count sets comes first, so that few rows more reach the driver, however many partitions there are."""
+    rank = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 31))
+    n = df.count()
+    near = df if n <= 8 * most else df.where(rank < F.lit(int(4 * most / n * (1 << 31))))
+    return near.orderBy(rank, *df.columns).limit(most)
+
+
 def hex64(column: Column) -> Column:
     """16 lower-case hex digits of a long."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import langid, packing, repeats, sharding, simhash, suffixes, urls
+from loomgraph.llm import chat, langid, licences, linecrf, packing, repeats, sharding, simhash, suffixes, urls
 from loomgraph.llm.common import table
 
 
@@ -16,6 +16,16 @@ def third(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 3
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.turns_as_calls(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    linked = chat.link(calls, results, {chat.REPLY: chat.REPLY_SCHEMA})
+    return linked.select("conv_id", "turn", "call_id", "level", "result_turn", "valid", F.array_join("errors", "; ").alias("errors"), F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
+
+
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select(
@@ -55,6 +65,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    field = linecrf.learn(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return linecrf.judge(docs, field).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -67,15 +83,33 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tool_calls": op1_tool_calls,
+    "op2_licences": op2_licences,
     "op3_decontamination": op3_decontamination,
     "op4_repeats": op4_repeats,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
+    "op8_line_field": op8_line_field,
     "op9_urls": op9_urls,
     "op10_language_id": op10_language_id,
 }
 
+_OP1_SQL = r"""
+WITH RECURSIVE users AS (
+  SELECT conv_id, turn, coalesce(text, '') AS t, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '')) AS w
+  FROM conversations WHERE role = 'user'),
+chain AS (
+  SELECT conv_id, turn, 0 AS level FROM users u WHERE NOT EXISTS (SELECT 1 FROM users p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
+  UNION ALL
+  SELECT u.conv_id, u.turn, level + 1 FROM chain JOIN users u ON u.conv_id = chain.conv_id AND u.turn = chain.turn + 2),
+answers AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
+SELECT u.conv_id, u.turn, 'call-' || u.conv_id || '-' || u.turn AS call_id, CAST(level AS INTEGER) AS level, a.turn AS result_turn, w >= 3 AND t <> '' AS valid,
+       concat_ws('; ', CASE WHEN t = '' THEN '$.prompt: too short' END, CASE WHEN w < 3 THEN '$.words: too small' END) AS errors,
+       sha256('{"arguments":{"prompt":' || to_json(t) || ',"words":' || w || '},"id":"call-' || u.conv_id || '-' || u.turn || '","name":"reply","result":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || '}') AS json_sha256
+FROM users u JOIN chain c ON c.conv_id = u.conv_id AND c.turn = u.turn LEFT JOIN answers a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+"""
+
 _OP3_SQL = r"""
 WITH folded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -113,6 +147,8 @@ FROM split LEFT JOIN places ON split.row_id = places.row_id LEFT JOIN left_over
 """
 
 ORACLES: dict[str, str] = {
+    "op1_tool_calls": _OP1_SQL,
+    "op2_licences": licences.scan_sql(),
     "op3_decontamination": _OP3_SQL,
     "op4_repeats": _OP4_SQL,
 }
