@@ -16,7 +16,7 @@ from loomgraph.functions.routes import url_template
 from loomgraph.operators import changes, merge, reconcile
 from loomgraph.operators.graph import PropertyGraph
 from loomgraph.plans import usages
-from loomgraph.sources import openapi, postman, requests, script, solution
+from loomgraph.sources import csharp, openapi, postman, requests, script, solution
 from loomgraph.streaming import changes as stream_changes
 from loomgraph.streaming import statistics
 
@@ -326,3 +326,35 @@ def debounce_batches(spark, sf_dir):
 @query("SELECT page_id, left(sha256(url), 8) AS hash FROM pages")
 def short_hashes(spark, sf_dir):
     return bridge.table(spark, sf_dir, "pages").select("page_id", short_hash(F.col("url")).alias("hash"))
+
+
+# -- C# (S8-S12) -------------------------------------------------------------------------------------------------------------------------
+
+
+def _sources(spark, sf_dir) -> DataFrame:
+    """A C# file for each nation: a controller, a mapped route, client calls, and uses of a known type."""
+    n = F.col("n_name")
+    text = F.concat(
+        F.lit('using X;\nnamespace Shop;\n[ApiController]\n[Route("api/[controller]")]\npublic sealed class '), n, F.lit('Controller : ControllerBase\n{\n    // [HttpPut("no")]\n    [HttpGet("{id:int}")]\n    public IActionResult Read(int id) { return Ok(); }\n}\n'),
+        F.lit("public class Client"), n, F.lit('\n{\n    public Task Send(string s)\n    {\n        app.MapPost("/'), n, F.lit('/{x:guid}", Handler.Do);\n        var part = new Part'), n, F.lit('();\n        part.Ship(s);\n        return http.GetAsync($"/api/{s}/'), n, F.lit('");\n    }\n}\n'),
+    )
+    return bridge.table(spark, sf_dir, "nation").select(F.concat(n, F.lit(".cs")).alias("file"), text.alias("text"))
+
+
+@query(
+    """SELECT n_name || '.cs' AS file, 'controller' AS scanner, 'GET' AS method, '/api/' || n_name || '/{id}' AS route, 'Shop.' || n_name || 'Controller.Read(int)' AS source, 'high' AS confidence, 9 AS line FROM nation
+UNION ALL SELECT n_name || '.cs', 'minimal-api', 'POST', '/' || n_name || '/{x}', 'Handler.Do', 'high', 15 FROM nation
+UNION ALL SELECT n_name || '.cs', 'http-client', 'GET', '/api/{var}/' || n_name, 'Shop.Client' || n_name || '.Send(string)', 'high', 18 FROM nation"""
+)
+def csharp_http_scan(spark, sf_dir):
+    return csharp.scan_http(_sources(spark, sf_dir)).select("file", "scanner", "method", "route", "source", "confidence", "line")
+
+
+@query(
+    """SELECT n_name || '.cs' AS file, 'Shop.Client' || n_name || '.Send(string)' AS source, 'Uses' AS usage, 'Type:Part' || n_name AS symbol_id, 16 AS line, 'medium' AS confidence FROM nation
+UNION ALL SELECT n_name || '.cs', 'Shop.Client' || n_name || '.Send(string)', 'Calls', 'Method:Ship', 17, 'medium' FROM nation"""
+)
+def csharp_usage_scan(spark, sf_dir):
+    types = bridge.table(spark, sf_dir, "nation").select(F.concat(F.lit("Type:Part"), "n_name").alias("symbol_id"), F.lit("Type").alias("kind"), F.concat(F.lit("Part"), "n_name").alias("name"))
+    symbols = types.unionByName(spark.createDataFrame([("Method:Ship", "Method", "Ship")], "symbol_id string, kind string, name string"))
+    return csharp.scan_uses(_sources(spark, sf_dir), symbols).select("file", "source", "usage", "symbol_id", "line", "confidence")

@@ -42,5 +42,5 @@ def assemblies(assets: DataFrame) -> DataFrame:
     files = library.select("project", "folders", "id", "l.path", F.explode("l.files").alias("f")).where(F.lower("f").rlike(r"^lib/.*\.dll$"))
     p = package_identity(F.col("id"))
     return files.select("project", p["name"].alias("package"), p["version"].alias("version"), F.explode("folders").alias("folder"), "path", "f").select(
-        "project", "package", "version", F.concat(F.regexp_replace("folder", "/*$", "/"), F.col("path"), F.lit("/"), F.col("f")).alias("dll")
+        "project", "package", "version", F.concat(F.regexp_replace("folder", "/+$", ""), F.lit("/"), F.col("path"), F.lit("/"), F.col("f")).alias("dll")
     )

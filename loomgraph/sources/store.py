@@ -5,7 +5,10 @@ from __future__ import annotations
 import html
 import json
 import posixpath
+import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,20 +54,57 @@ def _refs_out(column):
     return F.transform(column, lambda r: F.struct(r["file"].alias("file"), F.transform(r["spans"], lambda s: F.struct(s["start_line"].alias("startLine"), s["start_col"].alias("startColumn"), s["end_line"].alias("endLine"), s["end_col"].alias("endColumn"))).alias("spans")))
 
 
+_GAP, _COLON = re.compile(r"[\s,]*"), re.compile(r"\s*:\s*")
+
+
+def raw_members(text: str) -> dict[str, str]:
+    """The members of a JSON object, each value as the text it has there: a number keeps its digits."""
+    decoder, out, i = json.JSONDecoder(), {}, text.index("{") + 1
+    while text[i := _GAP.match(text, i).end()] != "}":
+        key, i = decoder.raw_decode(text, i)
+        i = _COLON.match(text, i).end()
+        _, end = decoder.raw_decode(text, i)
+        out[key] = text[i:end]
+        i = end
+    return out
+
+
+def raw_items(text: str) -> list[str]:
+    """The items of a JSON array, as they stand."""
+    decoder, out, i = json.JSONDecoder(), [], text.index("[") + 1
+    while text[i := _GAP.match(text, i).end()] != "]":
+        _, end = decoder.raw_decode(text, i)
+        out.append(text[i:end])
+        i = end
+    return out
+
+
+_SHARD = "id string, source string, target string, kind string, display_name string, attributes map<string,string>, refs string"
+
+
+def _shard(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """The rows of all shard files of a part; unknown members are passed over."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["value"]:
+                rows = []
+                for item in raw_items(raw_members(text).get(part, "[]")):
+                    m = raw_members(item)
+                    plain = [json.loads(m.get(k, "null")) for k in ("id", "from", "to", "kind", "displayName")]
+                    rows.append((*plain, raw_members(m.get("attributes", "{}")), m.get("sourceRefs", "[]")))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SHARD.replace("map<string,string>", "map").split(", ")])
+
+    return spark.read.text(f"{path}/{part}/*.json", wholetext=True).mapInPandas(run, _SHARD)
+
+
 def read_shards(spark: SparkSession, path: str, workspace: str = "main") -> PropertyGraph:
     """A graph from JSON shards: ``nodes/*.json`` with a list ``nodes``, ``edges/*.json`` with a list ``edges``. Attribute values keep their JSON text."""
-    raw = lambda part: spark.read.text(f"{path}/{part}/*.json", wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", f"$.{part}"), "array<string>")).alias("j"))
-    at = lambda key: F.get_json_object("j", f"$.{key}")
-    refs = _refs_in(F.coalesce(F.from_json(at("sourceRefs"), _REF_JSON), F.array().cast(_REF_JSON)))
-    # as variants, so that a text of digits and a number stay apart
-    values = F.from_json(at("attributes"), "map<string,variant>")
-    texts = F.coalesce(F.transform_values(values, lambda k, v: F.to_json(v)), F.create_map().cast("map<string,string>"))
-    ident = at("id")
-    nodes = raw("nodes").select(
-        F.lit(workspace).alias("workspace"), ident.alias("id"), at("kind").alias("kind"), F.regexp_extract(ident, "^[^:]*:(.*)@[^@]*$", 1).alias("fqn"), F.regexp_extract(ident, "@([^@]*)$", 1).alias("version"),
-        at("displayName").alias("display_name"), texts.alias("attributes"), refs.alias("source_refs"),
-    )
-    edges = raw("edges").select(F.lit(workspace).alias("workspace"), at("from").alias("from_id"), at("to").alias("to_id"), at("kind").alias("kind"), texts.alias("attributes"), refs.alias("source_refs"))
+    refs = _refs_in(F.coalesce(F.from_json("refs", _REF_JSON), F.array().cast(_REF_JSON)))
+    n, e = _shard(spark, path, "nodes"), _shard(spark, path, "edges")
+    w = F.lit(workspace).alias("workspace")
+    nodes = n.select(w, "id", "kind", F.regexp_extract("id", "^[^:]*:(.*)@[^@]*$", 1).alias("fqn"), F.regexp_extract("id", "@([^@]*)$", 1).alias("version"), "display_name", "attributes", refs.alias("source_refs"))
+    edges = e.select(w, F.col("source").alias("from_id"), F.col("target").alias("to_id"), "kind", "attributes", refs.alias("source_refs"))
     return PropertyGraph(nodes, edges)
 
 
