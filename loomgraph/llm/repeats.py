@@ -36,9 +36,9 @@ DEPTH = 2
 #: Cells in one slice of a row; slices are merged apart.
 SLICE = 1 << 21
 #: Entries that a task holds before it hands them on.
-HOLD = 1_500_000
+HOLD = 1_000_000
 #: Bytes of text that are hashed together, and bytes of text for each shard of the exact grouping.
-CHUNK, SHARD_BYTES = 6_000_000, 16_000_000
+CHUNK, SHARD_BYTES = 4_000_000, 16_000_000
 
 #: Fixed odd multipliers: of the two rolling hashes, and of the rows of the sketch.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)

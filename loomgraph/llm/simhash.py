@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import checkpointed, hex64, result_schema, staged, text_bytes
+from loomgraph.llm.common import checkpointed, hex64, result_schema, slices, staged, text_bytes
 
 SHINGLE = 4
 RADIUS = 4
@@ -30,6 +30,8 @@ SEED = 42
 TILE = 32_768
 #: Side of the squares that are compared at once within a tile.
 SQUARE = 1024
+#: Bytes of text whose shingle hashes a worker holds at once.
+CHUNK = 2_000_000
 
 _LOW = np.uint64(0x0101010101010101)
 
@@ -77,9 +79,10 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", size
     schema = result_schema(docs.drop(text), f"`{name}` long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = pa.array(fingerprints(text_bytes(batch.column(batch.schema.get_field_index(text))), size).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([fp if k == name else batch.column(batch.schema.get_field_index(k)) for k in schema.names], names=schema.names)
+        for whole in batches:
+            for batch in slices(whole, text, CHUNK):
+                fp = pa.array(fingerprints(text_bytes(batch.column(batch.schema.get_field_index(text))), size).view(np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays([fp if k == name else batch.column(batch.schema.get_field_index(k)) for k in schema.names], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
