@@ -16,7 +16,7 @@ from loomgraph.functions.routes import url_template
 from loomgraph.operators import changes, merge, reconcile
 from loomgraph.operators.graph import PropertyGraph
 from loomgraph.plans import usages
-from loomgraph.sources import csharp, openapi, postman, requests, script, solution
+from loomgraph.sources import csharp, openapi, postman, requests, script, solution, symbols
 from loomgraph.streaming import changes as stream_changes
 from loomgraph.streaming import statistics
 
@@ -358,3 +358,29 @@ def csharp_usage_scan(spark, sf_dir):
     types = bridge.table(spark, sf_dir, "nation").select(F.concat(F.lit("Type:Part"), "n_name").alias("symbol_id"), F.lit("Type").alias("kind"), F.concat(F.lit("Part"), "n_name").alias("name"))
     symbols = types.unionByName(spark.createDataFrame([("Method:Ship", "Method", "Ship")], "symbol_id string, kind string, name string"))
     return csharp.scan_uses(_sources(spark, sf_dir), symbols).select("file", "source", "usage", "symbol_id", "line", "confidence")
+
+
+# -- package symbols (the graph side of S7; J16, J17) ---------------------------------------------------------------------------------------
+
+
+def _symbols(spark, sf_dir) -> DataFrame:
+    """A type for each nation: its base is the nation before it or an outside type, its interfaces its region's, some with the base already."""
+    n = bridge.table(spark, sf_dir, "nation").join(bridge.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("n_nationkey")
+    outside = F.concat(F.lit("Ext.I"), F.col("r_regionkey").cast("string"))
+    return n.select(
+        F.col("r_name").alias("package"), F.lit("1").alias("version"), F.concat("r_name", F.lit(".Core")).alias("assembly"), F.lit("N").alias("namespace"), F.col("n_name").alias("type"), F.lit("class").alias("kind"),
+        F.when(key == 0, F.lit("System.Object")).when(key % 4 == 1, F.lit("Ext.Base")).otherwise(F.concat(F.lit("N.NATION_"), (key - 1).cast("string"))).alias("base"), F.array(outside, F.lit("Ext.IAll")).alias("interfaces"),
+        F.when(key % 2 == 0, F.array(F.lit("Ext.IAll"))).alias("inherited"), F.array(F.struct(F.lit("Go").alias("name"), F.lit("Go(int)").alias("signature"))).alias("methods"),
+    )
+
+
+@query(
+    """WITH t AS (SELECT n_nationkey AS k, n_regionkey AS r, 'Type:N.' || n_name || '@1' AS id FROM nation)
+SELECT id AS from_id, CASE WHEN k % 4 = 1 THEN 'ExternalRef:Ext.Base@external' ELSE 'Type:N.NATION_' || (k - 1) || '@1' END AS to_id, 'Inherits' AS kind FROM t WHERE k > 0
+UNION ALL SELECT id, 'ExternalRef:Ext.I' || r || '@external', 'Implements' FROM t UNION ALL SELECT id, 'ExternalRef:Ext.IAll@external', 'Implements' FROM t WHERE k % 2 = 1
+UNION ALL SELECT id, 'Method:N.NATION_' || k || '.Go~0028int~0029@1', 'Contains' FROM t"""
+)
+def symbol_relations(spark, sf_dir):
+    g = symbols.graph(_symbols(spark, sf_dir))
+    return g.edges.where(F.col("from_id").startswith("Type:")).select("from_id", "to_id", "kind")
