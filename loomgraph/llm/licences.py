@@ -79,6 +79,10 @@ KNOWN = (
 )
 
 
+# the same texts under their usual titles
+_TITLES = (("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("0BSD", "BSD Zero Clause License"), ("0BSD", "Zero-Clause BSD"))
+KNOWN += tuple((n, f"{title}\n\n{next(t for m, t in KNOWN if m == n)}") for n, title in _TITLES)
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _COPYRIGHT = re.compile(r"(^|\n)[ \t]*(?:copyright|\(c\)|©)[^\n]*".encode())

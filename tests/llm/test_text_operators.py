@@ -246,11 +246,11 @@ def test_packing_plan():
 
 
 def test_licences(spark, docs):
-    mit = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + dict(licences.KNOWN)["MIT"]
+    mit = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + next(t for n, t in licences.KNOWN if n == "MIT")
     text = next(t for n, t in licences.KNOWN if n == "ISC")
     rows = spark.createDataFrame([(1, "COPYRIGHT 2001 me\n" + text.upper().replace(",", " ,")), (2, "Intro.\nreleased under the mit licence!\nLicensed under the Apache License, version 2.0"), (3, None), (4, "© x"), (5, mit)], "doc_id long, text string")
     got = {r["doc_id"]: (r["license_id"], r["notices"]) for r in licences.scan(rows).collect()}
-    assert got == {1: ("ISC", None), 2: (None, "Apache-2.0,MIT"), 3: (None, None), 4: (None, None), 5: (None, None)}
+    assert got == {1: ("ISC", None), 2: (None, "Apache-2.0,MIT"), 3: (None, None), 4: (None, None), 5: ("MIT", None)}
     own = spark.createDataFrame([("OWN", "one"), ("A", "ONE."), ("E", "")], "license_id string, text string")
     assert {r["doc_id"]: r["license_id"] for r in licences.scan(docs, own).collect()}[3] == "A"
     assert licences.scan(docs.limit(0)).collect() == []
