@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import result_schema
+from loomgraph.llm.common import hash_sample, result_schema
 
 #: Bytes that the network reads in one go; its state starts anew after them.
 SEGMENT = 64
@@ -201,8 +201,8 @@ def learn(docs: DataFrame, usable: Callable | None = None, text: str = "text", l
         rows = rows.where(usable)
     h = F.xxhash64(F.col(id_col).cast("string"))
     start = F.lit(1) + F.pmod(h, F.greatest(F.lit(1), F.length(text) - F.lit(most_chars))).cast("int")
-    sample = rows.select(h.alias("h"), F.substring(F.col(text), start, F.lit(most_chars)).alias("t"), F.col(lang).cast("string").alias("l"))
-    got = sample.orderBy("h", "t", "l").limit(most_rows).collect()
+    sample = rows.select(F.col(id_col).alias("id"), F.substring(F.col(text), start, F.lit(most_chars)).alias("t"), F.col(lang).cast("string").alias("l"))
+    got = hash_sample(sample, "id", most_rows).collect()
     return train([r["t"].encode() for r in got], [r["l"] for r in got], **options)
 
 
