@@ -18,7 +18,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import checkpointed, hex64, result_schema, slices, staged, text_bytes
@@ -249,11 +249,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return prints.join(place, "fp").select(F.col("id").alias(id_col), hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose identifier is its component's: one of each group; of repeated rows one stays."""
-    from pyspark.sql import Window
+def keep_one(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group: the one whose identifier is its component's, of repeated rows one. Rows without an identifier
+    stay only where their group has none at all, one for each fingerprint."""
+    n, mark = "__lg_n", "__lg_id"
 
-    first = decisions.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__lg_id")).distinct()
-    kept = docs.join(first, F.col(id_col).eqNullSafe(F.col("__lg_id")), "left_semi")
-    n = "__lg_n"
-    return kept.withColumn(n, F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where(F.col(n) == 1).drop(n)
+    def one(df: DataFrame, key: str) -> DataFrame:
+        return df.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(n) == 1)
+
+    first = decisions.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    # joined by its own name, so that the rows move once for the join and the choice among repeated ones
+    named = one(docs.join(first, id_col, "left_semi"), id_col).select(*[F.col(f"`{c}`") for c in docs.columns])
+    bare = with_fingerprint(docs.where(F.col(id_col).isNull()).withColumn("__lg_text", F.col(text)), "__lg_text", mark)
+    free = decisions.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fingerprint").alias("__lg_free")).distinct()
+    nameless = one(bare.join(free, hex64(F.col(mark)) == F.col("__lg_free"), "left_semi"), mark)
+    return named.unionByName(nameless.select(*[F.col(f"`{c}`") for c in docs.columns]))

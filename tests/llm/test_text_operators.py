@@ -89,6 +89,9 @@ def test_simhash(spark, docs):
     assert at[8] == at[7] == 7 and at[0] == at[1] == at[2] == 0 and at[None] == 4
     kept = simhash.keep_one(docs, simhash.near_duplicates(docs))
     assert Counter(r["doc_id"] for r in kept.collect()).most_common(1)[0][1] == 1
+    nameless = spark.createDataFrame([(None, "a b c d e f"), (None, "q r s t u v w"), (None, "a b c d e f"), (5, "x y z x1 y1")], "doc_id long, text string")
+    left = simhash.keep_one(nameless, simhash.near_duplicates(nameless)).collect()
+    assert sorted(r["text"] for r in left) == ["a b c d e f", "q r s t u v w", "x y z x1 y1"]
     assert kept.columns == docs.columns and simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
