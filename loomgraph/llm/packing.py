@@ -11,6 +11,7 @@ Cases: a null text is the end-of-document id alone; an empty table gives no piec
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,10 +26,10 @@ LENGTH = 2048
 GRAIN = 16
 DEPTH = 3
 END_ID = 1
-#: Words whose ids a worker remembers before it starts over.
-REMEMBERED = 800_000
+#: Words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 300_000
 #: Bytes of text that are tokenised together.
-CHUNK = 8_000_000
+CHUNK = 2_000_000
 
 
 def default_vocabulary() -> str:
@@ -38,26 +39,78 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters with a run of marks behind them: each is one unit of the vocabulary's splitting. An apostrophe joins with letters, and < may begin a special token.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{-~]*)")
+
+
 class WordIds:
-    """Token ids as little-endian 32-bit bytes, word by word: this vocabulary drops white space, so no token crosses it."""
+    """Token ids as little-endian bytes, word by word: this vocabulary drops white space and case, so no token crosses words.
+
+    Letters and the marks behind them are looked up apart, so a word and its variants are tokenised once. Unknown letters are
+    tokenised many at a time: each ends with the first token that the vocabulary marks as ending a word."""
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        size = max(vocabulary.values()) + 1
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # words and the letters that they begin with, in two generations: what is still in use moves from the older to the newer one
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _recall(self, words: set[bytes]) -> set[bytes]:
+        """Those of the words that neither generation knows."""
+        new = words.difference(self.known)
+        old = self.older
+        self.known.update([(w, old[w]) for w in new if w in old])
+        return new.difference(self.known) if old else new
+
+    def _learn_stems(self, stems: list[bytes]) -> None:
+        for i in range(0, len(stems), 300):
+            part = stems[i : i + 300]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.dtype)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part) and cut[-1] == len(ids):
+                data, w = ids.tobytes(), self.dtype.itemsize
+                ends = (cut * w).tolist()
+                self.known.update(zip(part, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            else:
+                self.known.update(zip(part, self._each(part), strict=True))
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
-        new = list(set(chain.from_iterable(words)).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(set(chain.from_iterable(words)))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        here = set(chain.from_iterable(words))
+        if len(self.known) + len(here.difference(self.known)) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        new = self._recall(here)
+        plain = [(w, w.lower(), b"") for w in new if w.isalpha()]  # of bytes: A-Z and a-z alone
+        odd = []
+        for w in new:
+            if not w.isalpha():
+                m = _PLAIN.fullmatch(w)
+                if m:
+                    plain.append((w, m[1].lower(), m[2]))
+                else:
+                    odd.append(w)
+        self._learn_stems(sorted(self._recall({s for _, s, _ in plain})))
+        if len(self.marks) > REMEMBERED // 10:
+            self.marks = {b"": b""}
+        runs = sorted({p for _, _, p in plain}.difference(self.marks))
+        self.marks.update(zip(runs, self._each(runs), strict=True))
+        known, marks = self.known, self.marks
+        known.update([(w, known[s] + marks[p]) for w, s, p in plain])
+        for i in range(0, len(odd), 20_000):
+            part = odd[i : i + 20_000]
+            known.update(zip(part, self._each(part), strict=True))
+        get = known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
@@ -76,7 +129,7 @@ def _worker_ids(definition: str) -> WordIds:
 
 
 def tokenize(docs: DataFrame, vocabulary: str | None = None, text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """docs with, in place of the text, ids (little-endian 32-bit numbers with the end-of-document id) and n, how many."""
+    """docs with, in place of the text, ids (with the end-of-document id, little-endian, as wide as the vocabulary asks for) and n, how many."""
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, some MB
     schema = result_schema(docs.drop(text), "ids binary, n long")
@@ -86,11 +139,11 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, text: str = "text",
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = _worker_ids(definition.value)
-        end = np.array([end_id], "<u4").tobytes()
+        end, width = np.array([end_id], words.dtype).tobytes(), words.dtype.itemsize
         for whole in batches:
             for batch in slices(whole, text, CHUNK):
                 ids = [x + end for x in words.of(text_bytes(batch.column(batch.schema.get_field_index(text))))]
-                new = {"ids": pa.array(ids, pa.binary()), "n": pa.array([len(x) // 4 for x in ids], pa.int64())}
+                new = {"ids": pa.array(ids, pa.binary()), "n": pa.array([len(x) // width for x in ids], pa.int64())}
                 yield pa.RecordBatch.from_arrays([new[k] if k in new else batch.column(batch.schema.get_field_index(k)) for k in schema.names], names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -185,7 +238,7 @@ def _assignment(entries: list[tuple[tuple[int, ...], int]], classes: int) -> tup
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, length: int = LENGTH, grain: int = GRAIN, depth: int = DEPTH) -> DataFrame:
-    """Pieces of all documents: the identifier, start, length, ids, doc_tokens, sequence_id and offset. A sequence holds at most length ids."""
+    """Pieces of all documents: the identifier, start, length, ids (little-endian 32-bit numbers), doc_tokens, sequence_id and offset. A sequence holds at most length ids."""
     if length % grain:
         raise ValueError("the window must hold a whole number of grains")
     spark = docs.sparkSession
@@ -259,7 +312,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
                     pieces.append((at, head, line_base + s, o))
                     if head < r:
                         pieces.append((at + head, r - head, line_base + s + 1, 0))
-                out += [(i, a, m, ids[4 * a : 4 * (a + m)], n, q, o) for a, m, q, o in pieces]
+                whole_ids = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4")
+                out += [(i, a, m, whole_ids[a : a + m].tobytes(), n, q, o) for a, m, q, o in pieces]
             if out:
                 i, a, m, data, n, q, o = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")).take(pa.array(i)), *(pa.array(x, pa.int64()) for x in (a, m)), pa.array(data, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, q, o))], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
