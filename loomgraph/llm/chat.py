@@ -1,7 +1,7 @@
 """Chat formatting: tool calls and their results, linked, ordered, validated and written as canonical JSON.
 
 Calls and results are hash-joined by identifier.  Calls are ordered topologically: a call's level is one more than the
-highest level of the calls that it depends on, found in rounds over the links, all conversations at once.  Arguments are
+highest level of the calls that it depends on, found by doubling pointers, all conversations at once.  Arguments are
 validated against the schema of their tool, and every linked call becomes one line of canonical JSON (keys sorted, no
 blanks, no escapes but those that JSON demands).
 
@@ -63,29 +63,42 @@ def canonical_json(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-def levels(calls: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(call_id, level) for every call that no cycle holds back; calls: call_id and depends_on. A round places all calls whose dependencies stand; it moves what is still open only."""
+def levels(calls: DataFrame) -> DataFrame:
+    """(call_id, level) for every call that no cycle holds back; calls: call_id and depends_on.
+
+    A call with one dependency points to it, and pointers double in each round until they reach a call with none or several, so
+    a chain takes as many rounds as its length has binary digits. What is left are the calls with several dependencies:
+    they are placed in rounds, as many as such calls stand behind each other."""
     ids = calls.select("call_id").distinct()
-    links = checkpointed(
-        calls.select("call_id", F.explode("depends_on").alias("dep")).distinct().join(ids.select(F.col("call_id").alias("dep")), "dep")  # links to calls that exist
+    links = checkpointed(calls.select("call_id", F.explode("depends_on").alias("dep")).distinct().join(ids.select(F.col("call_id").alias("dep")), "dep"))  # to calls that exist
+    count = links.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("up"))
+    state = checkpointed(
+        ids.join(count, "call_id", "left").select("call_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("up")).otherwise(F.col("call_id")).alias("up"), F.when(F.col("n") == 1, 1).otherwise(0).alias("dist"), (F.coalesce("n", F.lit(0)) != 1).alias("done"))
     )
-    placed = checkpointed(ids.join(links, "call_id", "left_anti").select("call_id", F.lit(0).alias("level")))
-    out = [placed]
-    for level in range(1, most_rounds):
-        ready = links.select("call_id").distinct()
-        left = links.join(placed.select(F.col("call_id").alias("dep")), "dep", "left_anti")
-        left = checkpointed(left)
-        placed = checkpointed(ready.join(left, "call_id", "left_anti").select("call_id", F.lit(level).alias("level")))
-        if placed.isEmpty():
-            break
-        out.append(placed)
-        links = left
-        if links.isEmpty():
+    open_now = state.where("not done").count()
+    while open_now:
+        ahead = state.select(F.col("call_id").alias("at"), F.col("up").alias("next"), F.col("dist").alias("more"), F.col("done").alias("there"))
+        moved = state.where("not done").join(ahead, F.col("up") == F.col("at")).select("call_id", "n", F.col("next").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), F.col("there").alias("done"))
+        state = checkpointed(state.where("done").unionByName(moved))
+        left = state.where("not done").count()
+        if left == open_now:  # each round places some call unless all that is left hangs on a cycle
             break
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole
+        open_now = left
+    place = state.where("done").select("call_id", F.col("up").alias("anchor"), "dist")
+    known = state.where("n = 0").select("call_id", F.lit(0).alias("level"))
+    joints = state.where("n > 1").select("call_id")
+    if not joints.isEmpty():
+        steps = checkpointed(
+            links.join(joints, "call_id", "left_semi").join(place.select(F.col("call_id").alias("dep"), "anchor", "dist"), "dep", "left").select("call_id", "anchor", (F.col("dist") + 1).alias("d"))
+        )
+        while True:
+            reach = steps.join(known.select(F.col("call_id").alias("anchor"), "level"), "anchor", "left")
+            ready = reach.groupBy("call_id").agg(F.max(F.col("level") + F.col("d")).alias("level"), F.count("level").alias("has"), F.count(F.lit(1)).alias("of")).where("has = of").select("call_id", "level")
+            new = checkpointed(ready.join(known, "call_id", "left_anti"))
+            if new.isEmpty():
+                break
+            known = checkpointed(known.unionByName(new))
+    return place.join(known.select(F.col("call_id").alias("anchor"), "level"), "anchor").select("call_id", (F.col("level") + F.col("dist")).cast("int").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

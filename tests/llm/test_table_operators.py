@@ -32,6 +32,12 @@ def test_tool_calls(spark):
     assert chat.link(calls.limit(0), results, schema).collect() == []
 
 
+def test_levels_of_long_chains(spark):
+    rows = [(f"c{i}", [f"c{i - 1}"] if i else []) for i in range(70)] + [("j", ["c69", "c3", "c69"]), ("k", ["j"]), ("m", ["k", "c0"]), ("x", ["y"]), ("y", ["x"]), ("z", ["x", "c1"])]
+    got = {r["call_id"]: r["level"] for r in chat.levels(spark.createDataFrame(rows, "call_id string, depends_on array<string>")).collect()}
+    assert got == {f"c{i}": i for i in range(70)} | {"j": 70, "k": 71, "m": 72}
+
+
 @pytest.mark.parametrize(("value", "schema", "n"), [("ab", {"type": "string", "minLength": 3}, 1), ([1, "x"], {"type": "array", "items": {"type": "integer"}}, 1), (5, {"enum": [1, 5]}, 0), (5, {"maximum": 4, "minimum": 6}, 2), (None, {"type": "null"}, 0)])
 def test_violations(value, schema, n):
     assert len(chat.violations(value, schema)) == n
