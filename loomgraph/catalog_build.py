@@ -41,7 +41,7 @@ def _fragments(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-@query("SELECT 'Method:Part' || l_partkey || '@1' AS id, arg_max('order=' || l_orderkey || '|supplier=' || l_suppkey, l_linenumber * 1000000000000 + l_orderkey * 1000 + l_suppkey) AS attributes FROM lineitem GROUP BY l_partkey")
+@query("SELECT 'Method:Part' || l_partkey || '@1' AS id, max({'n': l_linenumber * 1000000000000 + l_orderkey * 1000 + l_suppkey, 'a': 'order=' || l_orderkey || '|supplier=' || l_suppkey}).a AS attributes FROM lineitem GROUP BY l_partkey")
 def merge_nodes(spark, sf_dir):
     return merge.merge_nodes(_fragments(spark, sf_dir)[0]).select("id", canonical_key(F.col("attributes")).alias("attributes"))
 
@@ -53,7 +53,7 @@ def merge_edges(spark, sf_dir):
 
 @query(
     """SELECT 'Method:Order' || l_orderkey || '@1' AS from_id, 'Method:Part' || l_partkey || '@1' AS to_id, 'Calls' AS kind,
-arg_min('flag="' || l_returnflag || '"|status="' || l_linestatus || '"', l_linenumber * 1000000000000 + l_orderkey * 1000 + l_suppkey) AS attributes FROM lineitem GROUP BY l_orderkey, l_partkey"""
+min({'n': l_linenumber * 1000000000000 + l_orderkey * 1000 + l_suppkey, 'a': 'flag="' || l_returnflag || '"|status="' || l_linestatus || '"'}).a AS attributes FROM lineitem GROUP BY l_orderkey, l_partkey"""
 )
 def distinct_edges(spark, sf_dir):
     return merge.distinct_edges(_fragments(spark, sf_dir)[1]).select("from_id", "to_id", "kind", canonical_key(F.col("attributes")).alias("attributes"))
