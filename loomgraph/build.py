@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.lineage import cut
-from loomgraph.operators.changes import changed_files, incremental
+from loomgraph.operators.changes import changed_files, providers_to_run
 from loomgraph.operators.graph import PropertyGraph
 from loomgraph.operators.merge import merge_edges, merge_nodes
 from loomgraph.operators.reconcile import reconcile
@@ -58,19 +58,12 @@ def _finished(graph: PropertyGraph, reconciled: bool) -> PropertyGraph:
 
 
 def update(spark: SparkSession, providers: Sequence[Provider], previous: PropertyGraph, old_hashes: DataFrame, new_hashes: DataFrame, files: DataFrame, reconciled: bool = True) -> PropertyGraph:
-    """The graph after a change: only the providers that read a changed kind run, on the changed files. Without old hashes everything is built anew."""
+    """The graph after a change; files are all files as they are now. Where no registered provider reads what changed, it is the previous graph.
+
+    Else all providers run over all files: what one finds in an unchanged file may hang on a changed one (a call of a method there, an assembly
+    of a project), and a merged graph does not say which provider found a row, so the part of a provider that does not run could not be kept
+    apart. The reference, too, builds everything anew where it has no fragment of such a provider in its cache."""
     if old_hashes.isEmpty():
         return build(spark, providers, files, reconciled)
-    changes = changed_files(old_hashes, new_hashes)
-    known = {p.id for p in providers}
-
-    def collect(wanted: list[str], changed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        some = files.join(changed.select("file").distinct(), "file", "left_semi")
-        run = [w for w in wanted if w in known]
-        if not run:
-            extra = lambda df: df.limit(0).withColumn("provider_ord", F.lit(0)).withColumn("seq", F.lit(0).cast("long"))
-            return extra(previous.nodes), extra(previous.edges)
-        return fragments(spark, providers, some, run)
-
-    graph = incremental(previous, changes, collect)
-    return graph if graph is previous else _finished(graph, reconciled)
+    wanted = {r["provider_id"] for r in providers_to_run(changed_files(old_hashes, new_hashes)).collect()}  # eight at most
+    return build(spark, providers, files, reconciled) if wanted & {p.id for p in providers} else previous

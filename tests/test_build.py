@@ -47,3 +47,30 @@ def test_only_some_providers(spark):
     nodes, _ = fragments(spark, PROVIDERS, frame(spark, a_ts="fetch('/a')"), ["dotnet"])
     assert [r["display_name"] for r in nodes.collect()] == ["later"]
     assert nodes.select(node_id("Type", F.lit("a"), F.lit("1")).alias("x")).first()["x"] == "Type:a@1"
+
+
+def calls(spark, files):
+    """A method for each file, named by its first line; each further line is a name it calls."""
+    lines = files.select("file", F.split("text", "\n").alias("l")).select("file", F.col("l")[0].alias("name"), F.expr("slice(l, 2, size(l))").alias("called"))
+    span = F.array(F.struct(F.lit(1).alias("start_line"), F.lit(1).alias("start_col"), F.lit(1).alias("end_line"), F.lit(2).alias("end_col")))
+    own = F.array(F.struct(F.col("file"), span.alias("spans")))
+    bare = F.create_map().cast("map<string,string>")
+    main, one = F.lit("main").alias("workspace"), F.lit("1")
+    nodes = lines.select(main, node_id("Method", F.col("name"), one).alias("id"), F.lit("Method").alias("kind"), F.col("name").alias("fqn"), one.alias("version"), F.col("name").alias("display_name"), bare.alias("attributes"), own.alias("source_refs"))
+    uses = lines.select("file", "name", F.explode("called").alias("to"))
+    to = uses.join(lines.select(F.col("name").alias("to")), "to")  # a name that no file gives is not resolved
+    edges = to.select(main, node_id("Method", F.col("name"), one).alias("from_id"), node_id("Method", F.col("to"), one).alias("to_id"), F.lit("Calls").alias("kind"), bare.alias("attributes"), own.alias("source_refs"))
+    return nodes, edges
+
+
+def test_edges_from_unchanged_files(spark):
+    """An edge from an unchanged file into a changed one stays, goes or comes as in a whole build, also where only another provider reads the change."""
+    shown = lambda g: (sorted(r["id"] for r in g.nodes.collect()), sorted((r["from_id"], r["to_id"]) for r in g.edges.collect()))
+    providers = [Provider("openapi-spec", scripts), Provider("dotnet", calls)]
+    old = frame(spark, a_cs="A\nB\nC", b_cs="B", api_http="H")
+    first = build(spark, providers, old)
+    assert ("Method:A@1", "Method:B@1") in shown(first)[1]
+    for texts in (dict(b_cs="B\nA"), dict(b_cs="C"), dict(b_cs="B", b_csproj="P\nA"), dict(b_cs="B", api_http="H\nA")):
+        new = frame(spark, **{"a_cs": "A\nB\nC", "api_http": "H", **texts})
+        changed, whole = update(spark, providers, first, hashes(old), hashes(new), new), build(spark, providers, new)
+        assert shown(changed) == shown(whole)
