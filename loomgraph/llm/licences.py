@@ -1,6 +1,7 @@
 """License scans by canonical digest lookup.
 
-A text is brought to a canonical form: A-Z lower-cased, copyright lines dropped, punctuation turned to spaces, equivalent
+A text is brought to a canonical form: copyright notices dropped (lines that begin with one, not prose that is wrapped before
+"copyright"), A-Z lower-cased, punctuation turned to spaces, equivalent
 spellings made one.  Its SHA-256 is then hash-joined to the digests of known licences.  The same lookup is made for every
 line, which finds the one-line notices that stand inside longer texts.
 
@@ -85,7 +86,12 @@ KNOWN += tuple((n, f"{title}\n\n{next(t for m, t in KNOWN if m == n)}") for n, t
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_COPYRIGHT = re.compile(r"(^|\n)[ \t]*(?:copyright|\(c\)|©)[^\n]*".encode())
+# A line is a notice that begins with the sign, with "copyright" and (c), the sign, a year or a place to fill in, or with (c) and one of
+# these; "Copyright" before a name in capitals, unless one of licence prose; and (c) alone, unless the text counts its points (a), (b), (c).
+_DATED = r"(?:\(c\)|©|copyright|(?:19|20)[0-9][0-9]|[<\[{])"
+_SURE = re.compile(rf"(^|\n)[ \t]*(?:©|copyright[ \t:,]*{_DATED}|\(c\)[ \t]*{_DATED})[^\n]*".encode(), re.IGNORECASE)
+_NAMED = re.compile(rb"(^|\n)[ \t]*Copyright[ \t]+(?:by[ \t]+)?(?!(?:Notice|Holder|Owner|Licen[cs]e|Law|Act|Treat|Statement|Right|Interest|Protection|Disclaimer|Permission)(?:s|ies|y)?\b)[A-Z][^\n]*")
+_POINT = re.compile(rb"(^|\n)[ \t]*\(c\)[^\n]*", re.IGNORECASE)
 _SPELLINGS = [(old.encode(), re.compile(b"(?<![^ ])" + old.encode() + b"(?![^ ])"), new.encode()) for old, new in SPELLINGS.items()]
 
 
@@ -93,7 +99,10 @@ def canonical(text: bytes) -> bytes:
     """The form in which texts of one licence are equal."""
     t = text.translate(_LOWER)
     if b"copyright" in t or b"(c)" in t or b"\xc2\xa9" in t:
-        t = _COPYRIGHT.sub(rb"\1", t)
+        text = _NAMED.sub(rb"\1", _SURE.sub(rb"\1", text))
+        if b"(b)" not in t:
+            text = _POINT.sub(rb"\1", text)
+        t = text.translate(_LOWER)
     t = b" ".join(t.translate(_BLANK).split())
     for old, pattern, new in _SPELLINGS:
         if old in t:
@@ -108,7 +117,7 @@ def digest(text: bytes) -> str | None:
 
 
 def canonical_sql(text: str) -> str:
-    """canonical() as DuckDB SQL."""
+    """canonical() as DuckDB SQL, save that it drops any line that begins with "copyright", (c) or the sign, prose too."""
     t = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     t = rf"regexp_replace({t}, '(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*', '\1', 'g')"
     t = rf"regexp_replace({t}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g')"

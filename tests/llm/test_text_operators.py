@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -258,3 +259,36 @@ def test_licences(spark, docs):
     assert {r["doc_id"]: r["license_id"] for r in licences.scan(docs, own).collect()}[3] == "A"
     assert licences.scan(docs.limit(0)).collect() == []
     assert hashlib.sha256(b"one").hexdigest() == licences.digest(b" ONE! ")
+
+
+ISC_AS_PUBLISHED = """ISC License
+
+Copyright (c) 2004-2010 by Somebody
+Copyright Other Body, Inc.
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
+def test_licences_as_published(spark):
+    rows = spark.createDataFrame([(1, ISC_AS_PUBLISHED), (2, ISC_AS_PUBLISHED.upper().replace("COPYRIGHT OTHER BODY, INC.\n", ""))], "doc_id long, text string")
+    assert {r["doc_id"]: r["license_id"] for r in licences.scan(rows).collect()} == {1: "ISC", 2: "ISC"}
+    mit = next(t for n, t in licences.KNOWN if n == "MIT")
+    for width in range(30, 100):  # the form does not depend on where lines are wrapped
+        wrapped = "\n\n".join(textwrap.fill(p, width) for p in mit.split("\n\n"))
+        assert licences.digest(wrapped.encode()) == licences.digest(mit.encode()), width
+    for notice in ("Copyright (c) 2020 A", "COPYRIGHT 2001 me", "copyright © me", "© me", "(c) me", "(C) 2020 me", "Copyright [yyyy] [name of copyright owner]", "Copyright Joyent, Inc.", "Copyright by Me", "  Copyright: 2001 me"):
+        assert licences.canonical(f"x\n{notice}\ny".encode()) == b"x y", notice
+    for prose in ("copyright notice and", "COPYRIGHT HOLDERS BE", "copyright license to", "Copyright Notice", "copyright, or", "copyright"):
+        assert licences.canonical(f"x\n{prose}\ny".encode()) == licences.canonical(f"x {prose} y".encode()), prose
+    assert licences.canonical(b"(a) x\n(b) y\n(c) z") == b"a x b y c z"
