@@ -12,6 +12,8 @@ of one notice count once; known texts that come to the same digest are given und
 from __future__ import annotations
 
 import hashlib
+import json
+import pkgutil
 import re
 from collections.abc import Iterator
 
@@ -142,10 +144,28 @@ def digests(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, key binary, digest string, lines array<string>")
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(SPDX name, text) of the whole licences of licence_texts.json as published, and of the other forms in which they are usual: without
+    the appendix on how to apply them, and the short ones of BSD with a title, "All rights reserved." and bullets."""
+    out = []
+    for r in json.loads(pkgutil.get_data("loomgraph.llm", "licence_texts.json") or b"[]"):
+        name, text = r["license_id"], r["text"]
+        out.append((name, text))
+        head, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            out += [(name, head + end), (name, head)]
+        if name.startswith("BSD-"):
+            kind = name.split("-")[1]
+            titles = ("", f"BSD {kind}-Clause License", f"The BSD {kind}-Clause License", *(("BSD License",) if kind == "3" else ()), *(("Simplified BSD License",) if kind == "2" else ()))
+            bare = re.sub(r"(?m)^[ \t]*[0-9]\.", "*", text)
+            out += [(name, f"{t}\n\n{rights}\n\n{x}") for t in titles for rights in ("", "All rights reserved.") for x in (text, bare)]
+    return out
+
+
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """(known_digest, license_id) of the known licences: by default of KNOWN, else of a table with license_id and text."""
+    """(known_digest, license_id) of the known licences: by default of KNOWN and the whole texts, else of a table with license_id and text."""
     if known is None:
-        return spark.createDataFrame(sorted({digest(t.encode()): n for n, t in reversed(KNOWN)}.items()), "known_digest string, license_id string")
+        return spark.createDataFrame(sorted({digest(t.encode()): n for n, t in reversed([*KNOWN, *whole_texts()])}.items()), "known_digest string, license_id string")
     return digests(known, "license_id", "text").where("digest is not null").groupBy(F.col("digest").alias("known_digest")).agg(F.min("id").alias("license_id"))
 
 
@@ -166,7 +186,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
 
 
 def scan_sql() -> str:
-    """scan() of documents as DuckDB SQL."""
+    """scan() of documents as DuckDB SQL; of the known licences it has those of KNOWN."""
     known = " UNION ALL ".join("SELECT '" + n + "' AS license_id, '" + t.replace("'", "''") + "' AS text" for n, t in KNOWN)
     return f"""
 WITH forms AS (SELECT license_id, {canonical_sql("text")} AS form FROM ({known})),

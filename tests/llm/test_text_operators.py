@@ -292,3 +292,14 @@ def test_licences_as_published(spark):
     for prose in ("copyright notice and", "COPYRIGHT HOLDERS BE", "copyright license to", "Copyright Notice", "copyright, or", "copyright"):
         assert licences.canonical(f"x\n{prose}\ny".encode()) == licences.canonical(f"x {prose} y".encode()), prose
     assert licences.canonical(b"(a) x\n(b) y\n(c) z") == b"a x b y c z"
+
+
+def test_licences_whole(spark):
+    """Whole texts of common licences, wrapped and noted as in published packages."""
+    texts = dict(licences.whole_texts()[::-1])
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "Zlib"} <= set(texts)
+    rows = [(n, "\n".join(textwrap.wrap(t, 66, break_on_hyphens=False)) if not re.search(r"(?m)^\s*Copyright [(\[]", t) else t) for n, t in texts.items()]  # a wrapped notice would be no line of its own
+    rows += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Me\nAll rights reserved.\n\n" + texts["BSD-3-Clause"].replace("1.", "*").replace("2.", "*").replace("3.", "*"))]
+    rows += [("Apache-2.0", texts["Apache-2.0"].partition("   APPENDIX")[0])]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r["license_id"] == r["doc_id"] for r in got)
