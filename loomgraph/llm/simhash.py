@@ -249,18 +249,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return prints.join(place, "fp").select(F.col("id").alias(id_col), hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: the one whose identifier is its component's, of repeated rows one. Rows without an identifier
-    stay only where their group has none at all, one for each fingerprint."""
-    n, mark = "__lg_n", "__lg_id"
-
-    def one(df: DataFrame, key: str) -> DataFrame:
-        return df.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(n) == 1)
-
-    first = decisions.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+def keep_one(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of each group: the one whose identifier is its component's, of repeated rows one. Rows of one identifier whose texts are
+    in different groups stay apart. Rows without an identifier stay only where their group has none at all, one for each fingerprint.
+    radius and tile: those of the decisions."""
+    n, mark, own, group = "__lg_n", "__lg_id", "__lg_fp", "__lg_group"
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def one(df: DataFrame, *key: str) -> DataFrame:
+        return df.withColumn(n, F.row_number().over(Window.partitionBy(*key).orderBy(key[-1]))).where(F.col(n) == 1)
+
+    first = decisions.where(F.col(id_col) == F.col("component_id")).select(id_col, "fingerprint").distinct()
+    several = decisions.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"))
+    mixed = checkpointed(several.where("a <> b").select(id_col))  # identifiers of different texts, none as a rule
+    alone = mixed.isEmpty()
     # joined by its own name, so that the rows move once for the join and the choice among repeated ones
-    named = one(docs.join(first, id_col, "left_semi"), id_col).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = (docs, first) if alone else (docs.join(mixed, id_col, "left_anti"), first.join(mixed, id_col, "left_anti"))
+    named = one(plain[0].join(plain[1].select(id_col).distinct(), id_col, "left_semi"), id_col).select(*columns)
+    if not alone:
+        # component_id does not tell groups with the same least identifier apart: their fingerprints are linked once more
+        shared = decisions.join(mixed.withColumnRenamed(id_col, "component_id"), "component_id", "left_semi").select(F.conv("fingerprint", 16, -10).cast("long").alias("fp")).distinct()
+        roots = components(links(checkpointed(shared), radius, tile)).select(hex64(F.col("node")).alias("fingerprint"), F.col("root"))
+        heads = first.join(mixed, id_col, "left_semi").join(roots, "fingerprint", "left").select(id_col, F.col("fingerprint").alias(own), F.coalesce(hex64(F.col("root")), F.col("fingerprint")).alias(group))
+        rows = with_fingerprint(docs.join(mixed, id_col, "left_semi").withColumn("__lg_text", F.col(text)), "__lg_text", mark).withColumn(own, hex64(F.col(mark)))
+        named = named.unionByName(one(rows.join(heads, [id_col, own]), id_col, group).select(*columns))
     bare = with_fingerprint(docs.where(F.col(id_col).isNull()).withColumn("__lg_text", F.col(text)), "__lg_text", mark)
     free = decisions.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fingerprint").alias("__lg_free")).distinct()
     nameless = one(bare.join(free, hex64(F.col(mark)) == F.col("__lg_free"), "left_semi"), mark)
-    return named.unionByName(nameless.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return named.unionByName(nameless.select(*columns))

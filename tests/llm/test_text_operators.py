@@ -96,6 +96,19 @@ def test_simhash(spark, docs):
     assert kept.columns == docs.columns and simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_one_identifier_of_different_texts(spark):
+    """A row goes only for one of its own group."""
+    x, y, z = "a b c d e f g", "q r s t u v w", "k l m n o p"
+    near = [" ".join(f"w{i}" for i in range(400)) + tail for tail in ("", " end")]
+    prints = simhash.fingerprints([t.encode() for t in near])
+    assert 0 < np.bitwise_count(prints[0] ^ prints[1]) <= simhash.RADIUS
+    rows = [(1, x), (1, y), (1, y), (2, x), (3, y), (3, z), (4, near[0]), (4, near[1]), (5, near[1]), (6, z)]
+    docs = spark.createDataFrame([(i, t, "f") for i, t in rows], "doc_id long, text string, fingerprint string")
+    kept = sorted(simhash.keep_one(docs, simhash.near_duplicates(docs)).collect())
+    assert [(r["doc_id"], r["text"]) for r in kept if r["doc_id"] != 4] == [(1, x), (1, y), (3, z)] and {r["fingerprint"] for r in kept} == {"f"}
+    assert [r["text"] in near for r in kept if r["doc_id"] == 4] == [True]
+
+
 @pytest.mark.parametrize("tile", [simhash.TILE, 40])
 def test_links_hold_components_together(spark, tile):
     rng = np.random.default_rng(1)
