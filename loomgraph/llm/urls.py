@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Most labelled urls that the trees learn from.
+#: Most different labelled urls that the trees learn from.
 SAMPLE = 4000
 TREES, LEVELS = 20, 4
 
@@ -79,18 +79,25 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url:
     base = base.select("*", rule.alias("rule"), said.alias("said"), F.substring_index("host", ".", -1).alias("suffix"))
     # over all labelled urls, with a prior of one row for each verdict
     stats = base.where("said is not null").groupBy("suffix").agg(F.count(F.lit(1)).cast("double").alias("seen"), F.sum((F.col("said") == "block").cast("double")).alias("blocked"))
-    known = base.join(stats, "suffix", "left")
-    plain = features(F.col("url"), F.col("host"), F.col("path"))
-    seen, blocked = F.coalesce("seen", F.lit(0.0)), F.coalesce("blocked", F.lit(0.0))
-    known = known.select("id", "host", "path", "rule", "said", "url", *[c.alias(k) for k, c in plain.items()], F.log1p(seen).alias("f_suffix_seen"), ((blocked + 1) / (seen + 2)).alias("f_suffix_blocked"))
+
+    def described(df: DataFrame, *more: str | Column) -> DataFrame:
+        """df with the features of its urls."""
+        known = df.join(stats, "suffix", "left")
+        plain = features(F.col("url"), F.col("host"), F.col("path"))
+        seen, blocked = F.coalesce("seen", F.lit(0.0)), F.coalesce("blocked", F.lit(0.0))
+        return known.select(*more, *[c.alias(k) for k, c in plain.items()], F.log1p(seen).alias("f_suffix_seen"), ((blocked + 1) / (seen + 2)).alias("f_suffix_blocked"))
+
+    known = described(base, "id", "host", "path", "rule", "said", "url")
     kinds = [r["said"] for r in base.where("said is not null").select("said").distinct().collect()]  # allow, block
     if len(kinds) < 2:
         other = kinds[0] if kinds else "allow"
         return known.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", F.lit(other)).alias("verdict"), F.lit(float(other == "block")).alias("block_score"))
-    labelled = known.where("said is not null").select(*FEATURES, (F.col("said") == "block").cast("double").alias("label"), F.xxhash64("url").alias("h"))
+    # each url once, with its rows as weight: copies do not crowd others out of the sample
+    labelled = base.where("said is not null").groupBy("url", "host", "path", "suffix", "said").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.xxhash64("url").alias("h"))
+    chosen = described(labelled.orderBy("h", "url").limit(sample), "url", "h", "weight", (F.col("said") == "block").cast("double").alias("label"))
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = vector.transform(labelled.orderBy("h", *FEATURES).limit(sample)).select("features", "label").coalesce(1).cache()
-    model = GBTClassifier(maxIter=TREES, maxDepth=LEVELS, seed=1, maxBins=64).fit(train)
+    train = vector.transform(chosen).coalesce(1).sortWithinPartitions("h", "url").select("features", "label", "weight").cache()
+    model = GBTClassifier(weightCol="weight", maxIter=TREES, maxDepth=LEVELS, seed=1, maxBins=64).fit(train)
     train.unpersist()
     scored = model.transform(vector.transform(known)).withColumn("block_score", vector_to_array("probability")[1])
     verdict = F.coalesce("said", F.when(F.col("prediction") > 0.5, "block").otherwise("allow"))

@@ -109,3 +109,19 @@ def test_pipeline_stages(spark):
         if name == "language_id":
             assert not {900001, 900002} & {r["doc_id"] for r in out.select("doc_id").collect()} and n == docs.count()
         last = spark.createDataFrame(out.toPandas(), out.schema)
+
+
+def test_copies_of_a_url_leave_others_in_the_sample(spark):
+    """One url with more rows than the sample, and the smallest hash, is one url of the sample."""
+    rules = (("allow", "good.com", "/"), ("block", "bad.com", "/"))
+    allow = [f"https://good.com/{i}" for i in range(60)]
+    block = [f"https://bad.com/{'x' * 40}/{i}/a/b/c/d?p=1&q=2" for i in range(60)]
+    hashes = spark.createDataFrame([(u,) for u in allow], "url string").select("url", F.xxhash64("url").alias("h")).orderBy("h").limit(1)
+    most = hashes.first()
+    blocked = spark.createDataFrame([(u,) for u in block], "url string").where(F.xxhash64("url") > most["h"])
+    block = [r["url"] for r in blocked.collect()]
+    assert len(block) > 30
+    rows = allow + block + [most["url"]] * 300 + [f"https://other.com/{'x' * 40}/7/a/b/c/d?p=1&q=2", "https://other.com/7"]
+    got = urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules, sample=200).collect()
+    assert len(got) == len(rows)
+    assert [r["verdict"] for r in sorted(got, key=lambda r: r["page_id"])[-2:]] == ["block", "allow"]
