@@ -316,3 +316,17 @@ def test_licences_whole(spark):
     rows += [("Apache-2.0", texts["Apache-2.0"].partition("   APPENDIX")[0])]
     got = licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert len(got) == len(rows) and all(r["license_id"] == r["doc_id"] for r in got)
+
+
+def test_line_field_learns_from_the_end_of_long_texts(spark):
+    """Boilerplate that only stands behind the first lines and characters of long texts is learned."""
+    plain = "\n".join(f"this is the line number {i} of a text that all of the documents share" for i in range(70))
+    assert len(plain) > 4000
+    good = [plain + "\n" + "\n".join(f"and here the story goes on with sentence {i} of document {d}." for i in range(300)) for d in range(30)]
+    bad = [plain + "\n" + "\n".join(f"BUY | {i} | {d} !!" for i in range(300)) for d in range(30)]
+    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, quality int")
+    field = linecrf.learn(docs, labels)
+    assert field is not None
+    share = {r["doc_id"]: r["content_share"] for r in linecrf.judge(docs, field).collect()}
+    assert min(share[i] for i in range(30)) > 0.9 and all(share[i] < share[j] for i in range(30, 60) for j in range(30))
