@@ -1,4 +1,4 @@
-"""Building a graph from providers, whole or for what changed (U1, W5-W9, K2; the write path).
+"""Building a graph from providers, whole or for what changed (U1, W5-W9; the write path).
 
 A provider is a name and a function from (spark, files) to node and edge DataFrames, where files are (file, text). Providers are
 merged in the order of their registration; within one provider the identifier breaks ties.
