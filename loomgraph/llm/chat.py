@@ -7,7 +7,7 @@ blanks, no escapes but those that JSON demands).
 
 Cases: a call without a result has a null result, and so has its JSON; of several results of one identifier the one with
 the least turn counts (then the least content); of repeated calls of one identifier the first, alike, and a result without a
-call is left out; a dependency on a call that is not there is reported and otherwise ignored; calls on or behind a cycle
+call is left out; a call without an identifier can't be linked and is left out as well; a dependency on a call that is not there is reported and otherwise ignored; calls on or behind a cycle
 have no level and say so; null or malformed arguments are reported; a tool without a schema is reported.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import checkpointed
+from loomgraph.llm.common import checkpointed, shipped
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
@@ -115,12 +115,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         .agg(F.array_sort(F.collect_set("dep")).alias("missing"))  # of one call
     )
     whole = one.join(levels(one), "call_id", "left").join(missing, "call_id", "left").join(answer, "call_id", "left")
-    shipped = calls.sparkSession.sparkContext.broadcast(schemas)  # the tools' definitions
+    tools_of = shipped(calls.sparkSession, schemas)  # the tools' definitions
     kinds = dict(calls.dtypes)
     schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, call_id string, name string, level int, result_turn {dict(results.dtypes)['turn']}, valid boolean, errors array<string>, json string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = shipped.value
+        tools = tools_of()
         for b in batches:
             valid, errors, texts = [], [], []
             for r in b.select(["call_id", "name", "arguments", "level", "missing", "result"]).to_pylist():

@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import hash_sample, result_schema
+from loomgraph.llm.common import fresh_worker, hash_sample, result_schema, shipped, slices
 
 #: Bytes that the network reads in one go; its state starts anew after them.
 SEGMENT = 64
 #: Segments that are computed together.
 BLOCK = 4096
+#: Bytes of text that are judged together.
+CHUNK = 8_000_000
 #: The symbol behind the end of a text; it leaves the state as it is.
 PAD = 256
 UNDETERMINED = "und"
@@ -195,14 +197,14 @@ def pooled(net: ByteGRU, data: np.ndarray, starts: np.ndarray, ends: np.ndarray)
 
 def learn(docs: DataFrame, usable: Callable | None = None, text: str = "text", lang: str = "lang", id_col: str = "doc_id", most_rows: int = 1500, most_chars: int = 512, **options) -> ByteGRU | None:
     """Fits the network on a bounded sample: of the rows with a language (and where ``usable`` holds) the most_rows ones of the
-    smallest identifier hash, most_chars characters of each from a place that the hash chooses. Only training is bounded; every text is classified whole."""
+    smallest hash, most_chars characters of each from a place that the hash chooses. Only training is bounded; every text is classified whole."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
     h = F.xxhash64(F.col(id_col).cast("string"))
     start = F.lit(1) + F.pmod(h, F.greatest(F.lit(1), F.length(text) - F.lit(most_chars))).cast("int")
     sample = rows.select(F.col(id_col).alias("id"), F.substring(F.col(text), start, F.lit(most_chars)).alias("t"), F.col(lang).cast("string").alias("l"))
-    got = hash_sample(sample, "id", most_rows).collect()
+    got = hash_sample(sample, most_rows)
     return train([r["t"].encode() for r in got], [r["l"] for r in got], **options)
 
 
@@ -211,12 +213,13 @@ def classify(docs: DataFrame, net: ByteGRU | None, text: str = "text", predictio
     flag = "__lg_letter"
     marked = docs.withColumn(flag, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     schema = result_schema(docs, f"`{prediction}` string, `{score}` double")
-    shipped = docs.sparkSession.sparkContext.broadcast(net)  # some 100 kB, whatever the data
+    weights = shipped(docs.sparkSession, net)  # some 100 kB, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
+        fresh_worker()
+        model = weights()
         names = schema.names
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text, CHUNK)):
             column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
             n = len(column)
             _, offsets, data = column.buffers()

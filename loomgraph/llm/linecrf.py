@@ -1,7 +1,7 @@
 """Quality rules: a linear-chain conditional random field labels each line of a text as content or boilerplate.
 
-The field is trained in numpy (forward-backward, Adam) on a bounded sample of labelled documents (2000, by 60 lines in a row
-of each), whose lines take their document's quality as label; Viterbi decoding then labels every line of every whole text, and the share of words
+The field is trained in numpy (forward-backward, Adam) on a bounded sample: whole labelled documents (2000 at most), cut into runs of
+60 lines from the first line to the last, of which 4000 at most count; all lines take their document's quality as label; Viterbi decoding then labels every line of every whole text, and the share of words
 in content lines decides retention.  Plain rules on counts come first.
 
 Cases: a null or empty text has no word and fails the base rules; lines without a word take part in the chain but not in
@@ -15,19 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import hash_sample, result_schema, slices, text_bytes
+from loomgraph.llm.common import fresh_worker, hash_sample, result_schema, shipped, slices, staged, text_bytes
 from loomgraph.llm.repeats import Words
 
 REPEAT = 5
 #: Base rules: fewest words, and most words in repeated windows, in per cent.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 LEAST_CONTENT = 0.5
-#: Bounds of the training sample: documents, lines in a row of each.
-SAMPLE, SAMPLE_LINES = 2000, 60
+#: Bounds of the training sample: documents, and runs of lines of them; lines of a run.
+SAMPLE, SAMPLE_RUNS, RUN = 2000, 4000, 60
 CHUNK = 6_000_000
 
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -99,15 +98,15 @@ class LineField:
         return out[::-1]
 
 
-def window(rows: list[list[float]], place: int, most_lines: int = SAMPLE_LINES) -> np.ndarray:
-    """most_lines lines in a row of a whole text's features, or all if it has no more; place (any number) chooses where they begin."""
-    start = place % max(1, len(rows) - most_lines + 1)
-    return np.array(rows[start : start + most_lines], np.float64)
+def runs(rows: list[list[float]]) -> list[np.ndarray]:
+    """All lines of a text's features, cut into runs of RUN lines; what is left at the end is a run of its own."""
+    return [np.array(rows[i : i + RUN], np.float32) for i in range(0, len(rows), RUN)]
 
 
-def fit(texts: list[bytes], labels: list[int], steps: int = 120, rate: float = 0.1, most_lines: int = SAMPLE_LINES) -> LineField | None:
-    """Trains on texts of which each line has the text's label, by most_lines lines of each from a place that its hash chooses."""
-    return fit_lines([window(line_features(t)[0], xxhash.xxh64_intdigest(t), most_lines) for t in texts], labels, steps, rate)
+def fit(texts: list[bytes], labels: list[int], steps: int = 120, rate: float = 0.1) -> LineField | None:
+    """Trains on whole texts of which each line has the text's label."""
+    cut = [(r, y) for t, y in zip(texts, labels, strict=True) for r in runs(line_features(t)[0])]
+    return fit_lines([r for r, _ in cut], [y for _, y in cut], steps, rate)
 
 
 def fit_lines(feats: list[np.ndarray], labels: list[int], steps: int = 120, rate: float = 0.1) -> LineField | None:
@@ -152,22 +151,24 @@ def fit_lines(feats: list[np.ndarray], labels: list[int], steps: int = 120, rate
     return LineField(emit, step)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", quality: str = "quality", sample: int = SAMPLE) -> LineField | None:
-    """Fits the field on the labelled documents with the smallest identifier hashes, sample at most, by SAMPLE_LINES lines in a row of each, from
-    a place that the hash chooses. Features are those of the whole text; only training is bounded."""
-    known = hash_sample(labels.where(F.col(quality).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(quality).cast("int").alias("y")), "id", sample)
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", quality: str = "quality", sample: int = SAMPLE, most_runs: int = SAMPLE_RUNS) -> LineField | None:
+    """Fits the field on a bounded sample: the whole texts of ``sample`` labelled documents at most, those of the smallest hash, cut into runs of lines;
+    where these are more than most_runs, those of the smallest hash, wherever in a text they stand."""
+    spark = docs.sparkSession
+    named = labels.where(F.col(quality).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(quality).cast("int").alias("y"))
+    known = spark.createDataFrame(hash_sample(named, sample), named.schema)
     rows = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(F.broadcast(known), "id")  # sample rows at most
-    placed = rows.select("id", "y", F.xxhash64(F.col("id").cast("string")).alias("place"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for whole in batches:
             for b in slices(whole, "t", CHUNK):
-                lines = [window(line_features(t)[0], p).tobytes() for t, p in zip(text_bytes(b.column(3)), b.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.binary())], names=["id", "y", "lines"])
+                t, y = text_bytes(b.column(b.schema.get_field_index("t"))), b.column(b.schema.get_field_index("y")).to_pylist()
+                found = [(k, r.tobytes()) for x, k in zip(t, y, strict=True) for r in runs(line_features(x)[0])]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([r for _, r in found], pa.binary())], names=["y", "lines"])
 
-    found = placed.mapInArrow(run, f"id {dict(placed.dtypes)['id']}, y int, lines binary")
-    got = found.orderBy("id", "lines", "y").limit(2 * sample).collect()  # some kB a row
-    return fit_lines([np.frombuffer(r["lines"]).reshape(-1, N_FEATURES) for r in got], [int(r["y"] > 0) for r in got])
+    got = hash_sample(staged(rows.select("t", "y").mapInArrow(run, "y int, lines binary"), "runs"), most_runs)  # some kB a row
+    return fit_lines([np.frombuffer(r["lines"], np.float32).reshape(-1, N_FEATURES) for r in got], [int(r["y"] > 0) for r in got])
 
 
 def repeat_words(words: Words, size: int = REPEAT) -> np.ndarray:
@@ -199,10 +200,11 @@ _ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def judge(docs: DataFrame, field: LineField | None, text: str = "text", least_content: float = LEAST_CONTENT) -> DataFrame:
     """docs with, in place of the text, its counts, base_failed, the share of words in content lines (null without a field) and kept."""
     schema = result_schema(docs.drop(text), _ADDED)
-    shipped = docs.sparkSession.sparkContext.broadcast(field)  # some forty numbers
+    weights = shipped(docs.sparkSession, field)  # some forty numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: LineField | None = shipped.value
+        fresh_worker()
+        model: LineField | None = weights()
         for whole in batches:
             for batch in slices(whole, text, CHUNK):
                 texts = text_bytes(batch.column(batch.schema.get_field_index(text)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import result_schema, slices, staged, text_bytes
+from loomgraph.llm.common import fresh_worker, result_schema, shipped, slices, staged, text_bytes
 
 LENGTH = 2048
 GRAIN = 16
@@ -254,7 +254,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
     for row in counted.groupBy("c").agg(F.sum("k").alias("k")).collect():  # at most one row for each class
         histogram[row["c"]] = row["k"]
     chosen, planned = _assignment(plan(histogram, depth), top)
-    shipped = spark.sparkContext.broadcast(chosen)  # bounded by the number of combinations
+    tables_of = shipped(spark, chosen)  # bounded by the number of combinations
 
     before = Window.partitionBy("c").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("pid", "c", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
@@ -262,7 +262,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
     ranked = sizes.where("r > 0").withColumn("inner", inner).join(offsets, ["pid", "c"]).select("pid", "idx", "r", "c", (F.col("base") + F.col("inner")).cast("long").alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shipped.value
+        fresh_worker()
+        tables = tables_of()
         for b in batches:
             c, rank = b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy()
             seq, slot = np.full(len(c), -1, np.int64), np.zeros(len(c), np.int64)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import result_schema, slices, text_bytes, text_size
+from loomgraph.llm.common import fresh_worker, result_schema, slices, text_bytes, text_size
 
 WINDOW = 35
 #: Cells of a row of the sketch: the least, and the most.
@@ -142,6 +142,7 @@ def sketch(docs: DataFrame, cells: int, text: str = "text", window: int = WINDOW
     width = min(SLICE, cells)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
@@ -302,6 +303,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     shards = max(1, -(-size // SHARD_BYTES))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         held = _Held(window, shards)
         for batch in batches:
             for part in slices(batch, text, CHUNK):

@@ -6,7 +6,8 @@ diagonal give the longest verbatim matches and where they stand.  Documents that
 
 A word that no item has cannot be part of a match, so a suffix enters the array only where enough words known to the
 benchmark follow each other; it is compared to the depth of a window, beyond which a match is followed on its diagonal.
-The benchmark travels to the tasks in blocks of at most BLOCK_BYTES of text, one pass over a task's rows for each block.
+The benchmark travels to the tasks in blocks of about BLOCK_BYTES of text, one pass over all rows for each block; passes are staged
+apart, so a task holds one block, however large the benchmark is.
 
 Cases: a null text has no word; an item without a word occurs nowhere; an item shorter than a window is one window;
 items of one identifier count once; items with a null identifier mark words but are not counted.
@@ -22,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import result_schema, slices, text_bytes
+from loomgraph.llm.common import fresh_worker, result_schema, shipped, slices, staged, text_bytes
 
 WINDOW = 8
 LEAST_ITEMS = 2
 #: Bytes of text that make one shard of the training data.
 SHARD_BYTES = 8_000_000
 #: Bytes of benchmark text that are searched for at once.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 
 #: A-Z to a-z, all else below 0x80 but digits and letters to a space; what is above belongs to words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -121,10 +122,15 @@ def _blocks(benchmark: DataFrame, id_col: str, text: str) -> Iterator[list[tuple
 def _passes(docs: DataFrame, benchmark: DataFrame, text: str, item_col: str, item_text: str, window: int) -> DataFrame:
     """docs and the columns of _CARRY after all blocks."""
     df = docs
-    for block in _blocks(benchmark, item_col, item_text):
-        shipped = docs.sparkSession.sparkContext.broadcast(Probe(block, window))
+    blocks = _blocks(benchmark, item_col, item_text)
+    block = next(blocks)
+    while block is not None:
+        probe = shipped(docs.sparkSession, Probe(block, window))
         schema = result_schema(df, ", ".join(f"{k} {v}" for k, v in _CARRY.items()))
-        df = df.mapInArrow(_search(shipped, schema, text, df is docs), schema)
+        df = df.mapInArrow(_search(probe, schema, text, df is docs), schema)
+        block = next(blocks, None)
+        if block is not None:
+            df = staged(df, "pass")
     return df
 
 
@@ -136,11 +142,12 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: st
     return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
-def _search(shipped, schema: T.StructType, text: str, first: bool):
+def _search(probe_of, schema: T.StructType, text: str, first: bool):
     inner = list(_CARRY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe: Probe = shipped.value
+        fresh_worker()
+        probe: Probe = probe_of()
         number = probe.vocabulary.get
         for whole in batches:
             for batch in slices(whole, text, SHARD_BYTES):
