@@ -1,11 +1,13 @@
 """URL filters: rules first, and for what no rule fits gradient-boosted trees on lexical features.
 
-The trees learn from the urls that rules label, on length, depth, digit ratio, entropy, number of parameters and what the
-labelled urls of the same host suffix are like.  Everything runs as DataFrame expressions and Spark's own tree ensembles.
-
-Cases: a url that is null or has no ``://`` has an empty host and path and fits no rule; where the labelled urls are all
-of one kind, or there are none, there is nothing to learn and that kind (else allow) is the verdict; repeated urls and
-pages with a null identifier are judged each.
+The trees learn from the urls that rules label, on length, depth, digit ratio, entropy, number of parameters and what labelled urls
+of the same host suffix are like.  Half of the labelled urls (by hash) give these statistics and the other half trains the trees, so no
+url's own verdict is among its features.  The two verdicts weigh the same.  Everything runs as DataFrame expressions and Spark's own tree ensembles.
+
+Cases: a url that is null or has no ``://`` has an empty host and path and fits no rule; where the labelled urls that
+should train are all of one kind, or there are none, there is nothing to learn and the more frequent kind of labelled urls (else allow) is the verdict; repeated urls and
+pages with a null identifier are judged each; of rules of one length that both fit, the last one counts; where the trees find both
+verdicts as likely, it is allow; columns besides the identifier and the url take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import frequent, join_spread, staged
+
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Most different labelled urls that the trees learn from.
@@ -66,42 +70,76 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", id_col: str = "page_id", sample: int = SAMPLE) -> DataFrame:
-    """For each page: its identifier, host, path, the rule that fits (or null), verdict (allow or block) and block_score of the trees."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
+def prepared(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", id_col: str = "page_id") -> DataFrame:
+    """(id, url, host, path, rule, said, suffix): said is the verdict of the rule that fits, suffix the host's last label."""
     base = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"))
     host, path = host_and_path(F.col("url"))
     base = base.select("id", "url", host.alias("host"), path.alias("path"))
     rule, said = matched(F.col("host"), F.col("path"), rules)
-    base = base.select("*", rule.alias("rule"), said.alias("said"), F.substring_index("host", ".", -1).alias("suffix"))
-    # over all labelled urls, with a prior of one row for each verdict
-    stats = base.where("said is not null").groupBy("suffix").agg(F.count(F.lit(1)).cast("double").alias("seen"), F.sum((F.col("said") == "block").cast("double")).alias("blocked"))
-
-    def described(df: DataFrame, *more: str | Column) -> DataFrame:
-        """df with the features of its urls."""
-        known = df.join(stats, "suffix", "left")
-        plain = features(F.col("url"), F.col("host"), F.col("path"))
-        seen, blocked = F.coalesce("seen", F.lit(0.0)), F.coalesce("blocked", F.lit(0.0))
-        return known.select(*more, *[c.alias(k) for k, c in plain.items()], F.log1p(seen).alias("f_suffix_seen"), ((blocked + 1) / (seen + 2)).alias("f_suffix_blocked"))
-
-    known = described(base, "id", "host", "path", "rule", "said", "url")
-    kinds = [r["said"] for r in base.where("said is not null").select("said").distinct().collect()]  # allow, block
-    if len(kinds) < 2:
-        other = kinds[0] if kinds else "allow"
-        return known.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", F.lit(other)).alias("verdict"), F.lit(float(other == "block")).alias("block_score"))
-    # each url once, with its rows as weight: copies do not crowd others out of the sample
-    labelled = base.where("said is not null").groupBy("url", "host", "path", "suffix", "said").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.xxhash64("url").alias("h"))
-    chosen = described(labelled.orderBy("h", "url").limit(sample), "url", "h", "weight", (F.col("said") == "block").cast("double").alias("label"))
-    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = vector.transform(chosen).coalesce(1).sortWithinPartitions("h", "url").select("features", "label", "weight").cache()
+    return base.select("*", rule.alias("rule"), said.alias("said"), F.substring_index("host", ".", -1).alias("suffix"))
+
+
+def _second_half() -> Column:
+    return F.xxhash64("url") % 2 != 0
+
+
+def suffix_statistics(base: DataFrame) -> DataFrame:
+    """For each suffix its rows, those of the first half of urls that have a verdict of the rules (seen) and those of them that are blocked."""
+    said = F.when(~_second_half(), F.col("said"))
+    return base.groupBy("suffix").agg(F.count(F.lit(1)).alias("rows"), F.count(said).cast("double").alias("seen"), F.count(F.when(said == "block", 1)).cast("double").alias("blocked"))
+
+
+def described(joined: DataFrame, *more: str | Column) -> DataFrame:
+    """The features of urls that are joined to the statistics of their suffix, which have a prior of one row for each verdict."""
+    seen, blocked = F.coalesce("seen", F.lit(0.0)), F.coalesce("blocked", F.lit(0.0))
+    plain = features(F.col("url"), F.col("host"), F.col("path"))
+    return joined.select(*more, *[c.alias(k) for k, c in plain.items()], F.log1p(seen).alias("f_suffix_seen"), ((blocked + 1) / (seen + 2)).alias("f_suffix_blocked"))
+
+
+def learn(base: DataFrame, statistics: DataFrame, sample: int = SAMPLE):
+    """Trees fitted on ``sample`` different labelled urls at most, those of the smallest hash, each with its rows as weight: copies do not crowd others out.
+    None unless both verdicts occur among them."""
+    from pyspark.ml.classification import GBTClassifier
+
+    labelled = base.where(F.col("said").isNotNull() & _second_half()).groupBy("url", "host", "path", "suffix", "said").agg(F.count(F.lit(1)).cast("double").alias("n"), F.xxhash64("url").alias("h"))
+    chosen = staged(labelled.orderBy("h", "url").limit(sample).join(statistics, "suffix", "left"), "labelled")
+    size = {r["said"]: r["n"] for r in chosen.groupBy("said").agg(F.sum("n").alias("n")).collect()}  # two verdicts
+    if len(size) < 2:
+        return None
+    weight = F.col("n") / F.when(F.col("said") == "block", size["block"]).otherwise(size["allow"]) * (sum(size.values()) / 2)
+    train = described(chosen, "url", "h", weight.alias("weight"), (F.col("said") == "block").cast("double").alias("label"))
+    train = _vector(train).coalesce(1).sortWithinPartitions("h", "url").select("features", "label", "weight").cache()
     model = GBTClassifier(weightCol="weight", maxIter=TREES, maxDepth=LEVELS, seed=1, maxBins=64).fit(train)
     train.unpersist()
-    scored = model.transform(vector.transform(known)).withColumn("block_score", vector_to_array("probability")[1])
-    verdict = F.coalesce("said", F.when(F.col("prediction") > 0.5, "block").otherwise("allow"))
-    return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "block_score")
+    return model
+
+
+def _vector(df: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
+
+
+def scored(df: DataFrame, model) -> DataFrame:
+    """df with block_score, what the trees say of its features."""
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(_vector(df)).withColumn("block_score", vector_to_array("probability")[1])
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", id_col: str = "page_id", sample: int = SAMPLE) -> DataFrame:
+    """For each page: its identifier, host, path, the rule that fits (or null), verdict (allow or block) and block_score of the trees."""
+    base = prepared(pages, rules, url, id_col)
+    statistics = staged(suffix_statistics(base), "suffixes")
+    model = learn(base, statistics, sample)
+    if model is None:
+        kinds = {r["said"]: r["n"] for r in base.where("said is not null").groupBy("said").agg(F.count(F.lit(1)).alias("n")).collect()}  # two at most
+        other = max(sorted(kinds), key=kinds.get) if kinds else "allow"
+        return base.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", F.lit(other)).alias("verdict"), F.lit(float(other == "block")).alias("block_score"))
+    joined = join_spread(base, statistics.drop("rows"), "suffix", frequent(statistics, "suffix", "rows"))
+    found = scored(described(joined, "id", "host", "path", "rule", "said", "url"), model)
+    verdict = F.coalesce("said", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
+    return found.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "block_score")
 
 
 def allowed(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", id_col: str = "page_id") -> DataFrame:
