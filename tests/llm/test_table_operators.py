@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, queries, sharding, urls
+from loomgraph.llm import chat, queries, sharding, suffixes, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,9 +108,52 @@ def test_pipeline_stages(spark):
             assert stage(spark, last.limit(0), SF).count() == 0
         if name == "language_id":
             assert not {900001, 900002} & {r["doc_id"] for r in out.select("doc_id").collect()} and n == docs.count()
+        if name == "decontamination":  # every document with an item goes, every other one stays
+            found = suffixes.find(last, spark.read.parquet(f"{SF}/benchmark.parquet"))
+            assert found.where("n_items = 0").count() == n
         last = spark.createDataFrame(out.toPandas(), out.schema)
 
 
+def test_pipeline_removes_a_document_with_a_single_item(spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 80").orderBy("item_id").first()["text"]
+    docs = spark.createDataFrame([(1, "nothing of it in here, just words", "en", "s", 1, "k"), (2, f"Behind this: {item} and so on", "en", "s", 1, "k"), (3, None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long, __lg_hits string")
+    left = corpus_pipeline.decontamination(spark, docs.drop("__lg_hits"), SF)
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 3]
+
+
+def test_pipeline_cuts_and_drops(spark):
+    """A near copy goes, a passage that two texts share is cut out of both and n_chars follows; other columns come through."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    passage, a, b, c = fresh(60), fresh(80), fresh(80), fresh(300)
+    rows = [(1, f"{a} {passage}", "e"), (2, f"{passage} {b}", "f"), (3, c, "g"), (4, c + " one more", "h")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), x) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long, n_removed string")
+    one = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.collect()) == [1, 2, 3]
+    cut = {r["doc_id"]: r for r in corpus_pipeline.substring_dedup(spark, docs.drop("n_removed"), SF).where("doc_id < 3").collect()}
+    assert (cut[1]["text"], cut[2]["text"]) == (a, b) and all(r["n_chars"] == len(r["text"]) for r in cut.values())
+
+
+def test_trees_decide_where_no_rule_fits(spark):
+    """Trees that learn from looks alone judge hosts that no rule names, and get both verdicts right."""
+    rules = (("allow", "good.test", "/"), ("block", "bad.test", "/"))
+    rng = np.random.default_rng(4)
+    good = lambda h, i: f"https://{h}/{'abcdefgh'[i % 8]}{i}"
+    bad = lambda h, i: f"https://{h}/x/y/{rng.integers(10**12)}/{i}?a={rng.integers(10**9)}&b=2&c=3"
+    rows = [(i, good("good.test", i)) for i in range(150)] + [(1000 + i, bad("bad.test", i)) for i in range(150)]
+    held = [(2000 + i, good("new.test", i)) for i in range(50)] + [(3000 + i, bad("new.test", i)) for i in range(50)] + [(2000, good("new.test", 0))]
+    pages = spark.createDataFrame([(i, u, "x", 1.0) for i, u in rows + held], "page_id long, url string, suffix string, f_length double")
+    got = [(r["page_id"], r["verdict"]) for r in urls.judge(pages, rules).where("rule is null").collect()]
+    assert len(got) == len(held) and {v for _, v in got} == {"allow", "block"}
+    assert sum((v == "block") == (i >= 3000) for i, v in got) >= 0.95 * len(got)
+    statistics = {r["suffix"]: (r["rows"], r["seen"]) for r in urls.suffix_statistics(urls.prepared(pages, rules)).collect()}
+    assert statistics["test"][0] == len(rows + held) and 100 < statistics["test"][1] < 200
+
+
 def test_copies_of_a_url_leave_others_in_the_sample(spark):
     """One url with more rows than the sample, and the smallest hash, is one url of the sample."""
     rules = (("allow", "good.com", "/"), ("block", "bad.com", "/"))

@@ -1,7 +1,10 @@
 """Operators on whole texts against brute force, with nulls, empty and long texts, repeats, empty tables and extra columns."""
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import textwrap
 from collections import Counter
 
@@ -9,9 +12,10 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from loomgraph.llm import langid, licences, linecrf, packing, queries, repeats, simhash, suffixes
+from loomgraph.llm import common, langid, licences, linecrf, packing, queries, repeats, simhash, suffixes
 
 SF = "/root/testdata/sf0.001"
 SPACE = re.compile("[^\x20\x09-\x0d]+")
@@ -88,27 +92,100 @@ def test_simhash(spark, docs):
     assert sorted(((r["doc_id"], r["fingerprint"]) for r in got), key=repr) == sorted(((i, f"{fingerprint(t):016x}") for i, t in rows), key=repr)
     at = {r["doc_id"]: r["component_id"] for r in got}
     assert at[8] == at[7] == 7 and at[0] == at[1] == at[2] == 0 and at[None] == 4
-    kept = simhash.keep_one(docs, simhash.near_duplicates(docs))
-    assert Counter(r["doc_id"] for r in kept.collect()).most_common(1)[0][1] == 1
-    nameless = spark.createDataFrame([(None, "a b c d e f"), (None, "q r s t u v w"), (None, "a b c d e f"), (5, "x y z x1 y1")], "doc_id long, text string")
-    left = simhash.keep_one(nameless, simhash.near_duplicates(nameless)).collect()
-    assert sorted(r["text"] for r in left) == ["a b c d e f", "q r s t u v w", "x y z x1 y1"]
-    assert kept.columns == docs.columns and simhash.near_duplicates(docs.limit(0)).collect() == []
+    assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_one_of_each_group_stays(spark, docs):
+    kept = simhash.keep_one(docs, simhash.similar(docs))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4, 5, 7, 10, 11, 12]  # 6 is near 5, 8 a copy of 7, 9 near it
+    assert simhash.keep_one(docs.limit(0), simhash.similar(docs.limit(0))).collect() == []
+    nameless = spark.createDataFrame([(None, "a b c d e f"), (None, "q r s t u v w"), (None, "a b c d e f"), (5, "x y z x1 y1"), (None, "X y z  x1 y1")], "doc_id long, text string")
+    left = simhash.keep_one(nameless, simhash.similar(nameless)).collect()
+    assert sorted((r["text"], r["doc_id"]) for r in left) == [("a b c d e f", None), ("q r s t u v w", None), ("x y z x1 y1", 5)]
 
 
 def test_one_identifier_of_different_texts(spark):
     """A row goes only for one of its own group."""
     x, y, z = "a b c d e f g", "q r s t u v w", "k l m n o p"
     near = [" ".join(f"w{i}" for i in range(400)) + tail for tail in ("", " end")]
-    prints = simhash.fingerprints([t.encode() for t in near])
-    assert 0 < np.bitwise_count(prints[0] ^ prints[1]) <= simhash.RADIUS
     rows = [(1, x), (1, y), (1, y), (2, x), (3, y), (3, z), (4, near[0]), (4, near[1]), (5, near[1]), (6, z)]
     docs = spark.createDataFrame([(i, t, "f") for i, t in rows], "doc_id long, text string, fingerprint string")
-    kept = sorted(simhash.keep_one(docs, simhash.near_duplicates(docs)).collect())
+    kept = sorted(simhash.keep_one(docs, simhash.similar(docs)).collect())
     assert [(r["doc_id"], r["text"]) for r in kept if r["doc_id"] != 4] == [(1, x), (1, y), (3, z)] and {r["fingerprint"] for r in kept} == {"f"}
     assert [r["text"] in near for r in kept if r["doc_id"] == 4] == [True]
 
 
+def shingles(t):
+    w = t.lower().encode().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("tile", [simhash.TILE, 8])
+def test_similar_texts_against_brute_force(spark, tile):
+    """Pairs of 0.84 and more are found, pairs of 0.74 and less are not, and between them the sketch decides."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for g in range(12):
+        base = [f"v{x}" for x in rng.integers(0, 5000, int(rng.integers(40, 500)))]
+        for _ in range(9):
+            own = list(base)
+            for k in rng.integers(0, len(own), int(rng.integers(0, 1 + len(own) // 25))):
+                own[k] = f"n{rng.integers(0, 10**9)}"
+            texts.append(" ".join(own) + (" tail" if g % 3 else ""))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r["id"]: r["root"] for r in simhash.similar(docs, tile=tile).collect()}
+    sets = [shingles(t) for t in texts]
+    share = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i)}
+    sure = [p for p, s in share.items() if s >= 0.84]
+    assert len(sure) > 50 and sum(root[i] == root[j] for i, j in sure) >= 0.98 * len(sure)
+    loose = simhash.Forest(len(texts))
+    for (i, j), s in share.items():
+        if s > 0.74:
+            loose.join(np.array([i]), np.array([j]))
+    assert all(loose.root[i] == loose.root[j] for i, j in share if root[i] == root[j])
+
+
+def test_sketches_estimate_the_share():
+    base = [f"w{i}" for i in range(3000)]
+    for changed in (0, 20, 60, 150):
+        other = [f"x{i}" if changed and i % (3000 // changed) == 0 else w for i, w in enumerate(base)]
+        a, b = " ".join(base).encode(), " ".join(other).encode()
+        k = simhash._sketches(*simhash._gathered([a, b], 5))
+        want = len(shingles(a.decode()) & shingles(b.decode())) / len(shingles(a.decode()) | shingles(b.decode()))
+        assert abs(float(simhash.shared(k[:1], k[1:])[0]) - want) < 0.1
+
+
+def test_frequent_keys_are_spread(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "FREQUENT", 5)
+    spark.createDataFrame([(i, 1 if i < 50 else i) for i in range(80)] + [(99, None)], "id long, k long").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    other = spark.createDataFrame([(k, f"v{k}") for k in range(70)], "k long, v string")
+    often = common.frequent(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", "n")
+    assert often == [1]
+    for how in ("inner", "left"):
+        want = by_text(rows.join(other, "k", how), "id", "k", "v")
+        assert by_text(common.join_spread(rows, other, "k", often, how), "id", "k", "v") == want
+
+
+def test_samples_of_repeated_rows(spark):
+    same = spark.range(20_000).select(F.lit(7).alias("id"), F.lit("x").alias("t"))
+    few = same.withColumn("id", F.when(F.rand(1) < 0.5, 1).otherwise(F.lit(2)))
+    assert [len(common.hash_sample(df, 1500)) for df in (same, few, same.limit(3), same.limit(0))] == [1500, 1500, 3, 0]
+    mixed = spark.range(20_000).select(F.lit(7).alias("id"), F.col("id").cast("string").alias("t"))
+    assert len({r["t"] for r in common.hash_sample(mixed, 1500)}) == 1500
+
+
+def test_what_is_shipped_needs_no_package(spark, tmp_path):
+    """A worker that can't import this package reads models and probes all the same."""
+    net = langid.train([b"abc abd", b"xyz xyw"], ["a", "b"], hidden=2, steps=2)
+    for value in (net, suffixes.Probe([("1", b"a b c")], 8), linecrf.LineField(np.zeros((17, 2)), np.zeros((2, 2)))):
+        file = tmp_path / "value"
+        file.write_bytes(cloudpickle.dumps(value))
+        code = f"import pickle, sys; x = pickle.load(open({str(file)!r}, 'rb')); assert 'loomgraph' not in sys.modules; print(type(x).__name__)"
+        said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
+        assert said.stdout.strip() == type(value).__name__, said.stderr
+
+
 @pytest.mark.parametrize("tile", [simhash.TILE, 40])
 def test_links_hold_components_together(spark, tile):
     rng = np.random.default_rng(1)
@@ -207,6 +284,18 @@ def test_gradients_of_the_network():
         assert abs((up - down) / 2e-3 - g[at]) < 1e-3
 
 
+def test_pooled_probabilities_against_one_text_at_a_time(monkeypatch):
+    net = langid.ByteGRU.new(["a", "b", "c"], 4, np.random.default_rng(5))
+    texts = [b"", b"x", bytes(range(256)), "é word ".encode() * 40, b"y" * 64, b"z" * 65]
+    ends = np.cumsum([len(t) for t in texts])
+    monkeypatch.setattr(langid, "BLOCK", 3)
+    got = langid.pooled(net, np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends)
+    for t, p in zip(texts, got, strict=True):
+        parts = [net.positions(np.frombuffer(t[i : i + langid.SEGMENT], np.uint8).astype(np.int64)[:, None]) for i in range(0, len(t), langid.SEGMENT)]
+        want = np.concatenate(parts).sum(axis=(0, 1)) / len(t) if parts else np.zeros(3)
+        assert np.allclose(p, want, atol=1e-5)
+
+
 def test_language_id(spark, docs):
     train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     net = langid.learn(train, queries.third() != 1)
