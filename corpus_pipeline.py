@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import langid, packing, repeats, simhash, suffixes
-from loomgraph.llm.common import staged, table
+from loomgraph.llm.common import drop_staged, staged, staged_so_far, table
 from loomgraph.llm.queries import third
 
 #: Pooled probability below which no language is believed; four languages at chance have 0.25.
@@ -30,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest identifier."""
-    return _columns(simhash.keep_one(docs, simhash.near_duplicates(docs)), docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) stays: the one with the smallest identifier."""
+    return simhash.keep_one(docs, simhash.similar(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which two or more benchmark items occur go."""
-    return suffixes.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    """Documents in which any benchmark item occurs go."""
+    return suffixes.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), least_items=1)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +70,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table; what each leaves is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
+        since = staged_so_far()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = staged(docs, f"pipeline-{name}")
+            drop_staged(spark, max(0, since - 1) if i else since)  # what the stage read and wrote on its way
     return docs
