@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import node_id
 from loomgraph.operators.graph import PropertyGraph
-from loomgraph.schema import REFS_DDL
+from loomgraph.schema import REFS_DDL, WHITE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,54 +132,59 @@ def _span(line: Column, column: Column, width: int) -> Column:
 
 
 def usage_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Methods (orders) that call, use or implement methods (parts) at line l_linenumber, column l_quantity of the file of their
-    priority; an order's workspace is its customer's segment."""
+    """Methods (orders) that call, use or implement methods (parts) at line l_linenumber, column l_quantity of their file, some in a second file as well;
+    every document is a file, and an order's key names its own. An order's workspace is its customer's segment."""
+    docs = table(spark, sf_dir, "documents").count()
+    document = lambda key: F.concat(F.lit("docs/"), (F.col(key) % max(1, docs)).cast("string"), F.lit(".txt"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey"))
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
     used = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     order_name, part_name = F.concat(F.lit("Order"), F.col("o_orderkey").cast("string")), F.concat(F.lit("Part"), F.col("l_partkey").cast("string"))
-    own = F.array(F.struct(F.col("o_orderpriority").alias("file"), F.array(_span(F.lit(1), F.lit(1), 9)).alias("spans")))
+    own = F.array(F.struct(document("o_orderkey").alias("file"), F.array(_span(F.lit(1), F.lit(1), 9)).alias("spans")))
     nodes = _union(
         _nodes(orders, "Method", order_name, F.lit("1"), workspace=F.col("segment"), refs=own),
         _nodes(used.select("segment", "l_partkey").distinct(), "Method", part_name, F.lit("1"), workspace=F.col("segment")),
     )
     kind = F.when(F.col("l_returnflag") == "A", "Calls").when(F.col("l_returnflag") == "R", "Uses").otherwise("Implements")
     # a third of the edges have no reference of their own, and fall back on their source node's
-    refs = F.when(F.col("l_linenumber") % 3 != 0, F.array(F.struct(F.col("o_orderpriority").alias("file"), F.array(_span(F.col("l_linenumber"), F.col("l_quantity"), 5)).alias("spans"))))
+    first = F.struct(document("l_orderkey").alias("file"), F.array(_span(F.col("l_linenumber"), F.col("l_quantity"), 5)).alias("spans"))
+    second = F.struct(document("l_partkey").alias("file"), F.array(_span(F.lit(2), F.col("l_quantity"), 5)).alias("spans"))
+    refs = F.when(F.col("l_linenumber") % 3 == 1, F.array(first, second)).when(F.col("l_linenumber") % 3 == 2, F.array(first))
     edges = _edges(used, node_id("Method", order_name, F.lit("1")), node_id("Method", part_name, F.lit("1")), kind, _map(callCount=F.lit("1")), workspace=F.col("segment"), refs=refs)
     return PropertyGraph(nodes, edges)
 
 
 USAGE_SQL = """
-places AS (
+used AS (
   SELECT c_mktsegment AS workspace, l_partkey, 'Method:Part' || l_partkey || '@1' AS symbol_id, 'Method:Order' || o_orderkey || '@1' AS from_id, 'Order' || o_orderkey AS enclosing,
-         CASE l_returnflag WHEN 'A' THEN 'Calls' WHEN 'R' THEN 'Uses' ELSE 'Implements' END AS usage, o_orderpriority AS file,
-         CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber ELSE 1 END AS start_line, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_quantity AS INTEGER) ELSE 1 END AS start_col,
-         CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber ELSE 1 END AS end_line, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_quantity AS INTEGER) + 5 ELSE 10 END AS end_col
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
-
-#: The files of the usage graph, each with the document that gives its lines.
-FILES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+         CASE l_returnflag WHEN 'A' THEN 'Calls' WHEN 'R' THEN 'Uses' ELSE 'Implements' END AS usage, 'docs/' || o_orderkey % n || '.txt' AS file, 'docs/' || l_partkey % n || '.txt' AS file2, l_linenumber, CAST(l_quantity AS INTEGER) AS q,
+         CASE WHEN l_linenumber % 3 = 1 AND o_orderkey % n <> l_partkey % n THEN 2 ELSE 1 END AS diversity
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey, (SELECT count(*) AS n FROM documents)),
+places AS (
+  SELECT workspace, l_partkey, symbol_id, from_id, enclosing, usage, file, CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber ELSE 1 END AS start_line, CASE WHEN l_linenumber % 3 <> 0 THEN q ELSE 1 END AS start_col,
+         CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber ELSE 1 END AS end_line, CASE WHEN l_linenumber % 3 <> 0 THEN q + 5 ELSE 10 END AS end_col, diversity FROM used
+  UNION ALL SELECT workspace, l_partkey, symbol_id, from_id, enclosing, usage, file2, 2, q, 2, q + 5, diversity FROM used WHERE l_linenumber % 3 = 1)"""
 
 
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, line_no, text): the lines of documents 0 to 4 as the files of the usage graph."""
-    name = F.element_at(F.array(*map(F.lit, FILES)), (F.col("doc_id") + 1).cast("int"))
-    docs = table(spark, sf_dir, "documents").where(F.col("doc_id").between(0, len(FILES) - 1))
-    return docs.select(name.alias("file"), F.posexplode(F.split("text", "\n")).alias("i", "text")).select("file", (F.col("i") + 1).alias("line_no"), "text")
+    """(file, line_no, text): the lines of all documents, the files of the usage graph."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), "text")
+    return docs.select("file", F.posexplode(F.split("text", "\n")).alias("i", "text")).select("file", (F.col("i") + 1).alias("line_no"), "text")
 
 
-def source_files(spark: SparkSession) -> DataFrame:
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, ticks): when each file of the usage graph changed."""
-    return spark.range(len(FILES)).select(F.element_at(F.array(*map(F.lit, FILES)), (F.col("id") + 1).cast("int")).alias("file"), ((F.col("id") * 7) % 5).alias("ticks"))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), ((F.col("doc_id") * 7) % 5).alias("ticks"))
 
 
-LINES_SQL = """
+LINES_SQL = f"""
 source_lines AS (
-  SELECT ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][doc_id + 1] AS file, i AS line_no, string_split(text, chr(10))[i] AS text
-  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE doc_id BETWEEN 0 AND 4)),
-files AS (SELECT ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][id + 1] AS file, (id * 7) % 5 AS ticks FROM range(5) t(id))"""
+  SELECT 'docs/' || doc_id || '.txt' AS file, unnest(range(1, len(ls) + 1)) AS line_no, trim(unnest(ls), '{WHITE}') AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+files AS (SELECT 'docs/' || doc_id || '.txt' AS file, (doc_id * 7) % 5 AS ticks FROM documents),
+excerpts AS (
+  SELECT a.file, start_line, end_line, left(string_agg(line_no || ': ' || text, chr(10) ORDER BY line_no), 280) AS excerpt
+  FROM (SELECT DISTINCT file, start_line, end_line FROM places) a JOIN source_lines l ON l.file = a.file AND line_no >= greatest(1, start_line - 1) AND line_no <= greatest(end_line, start_line + 1) GROUP BY ALL)"""
 
 
 # -- pages as endpoints and call sites ---------------------------------------------------------------------------------------

@@ -90,7 +90,7 @@ def _shown(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "kind", "fqn", "version")
 
 
-@query("SELECT 'Assembly:NATION_7@1' AS id, 'Assembly' AS kind, 'NATION_7' AS fqn, '1' AS version")
+@query("SELECT 'Assembly:' || n_name || '@1' AS id, 'Assembly' AS kind, n_name AS fqn, '1' AS version FROM nation WHERE n_name = 'NATION_7'")
 def get_node(spark, sf_dir):
     return _shown(bridge.containment_graph(spark, sf_dir).node("Assembly:NATION_7@1"))
 
@@ -129,10 +129,10 @@ def prefix_search(spark, sf_dir):
 
 
 @query(
-    """SELECT 'Type:Order' || o_orderkey || '@1' AS id, 'Type' AS kind, 'Order' || o_orderkey AS fqn, '1' AS version FROM orders"""
+    """SELECT DISTINCT 'Method:Order' || l_orderkey || '.Line' || l_linenumber || '@1' AS id, 'Method' AS kind, 'Order' || l_orderkey || '.Line' || l_linenumber AS fqn, '1' AS version FROM lineitem"""
 )
 def attribute_key_search(spark, sf_dir):
-    return _shown(bridge.containment_graph(spark, sf_dir).by_attribute("kind"))
+    return _shown(bridge.containment_graph(spark, sf_dir).by_attribute(" signature "))
 
 
 @query(
@@ -168,30 +168,29 @@ def usage_counts(spark, sf_dir):
 
 
 
-_SUGGEST = f"""WITH {bridge.USAGE_SQL}, {bridge.LINES_SQL}, called AS (SELECT * FROM places WHERE usage = 'Calls' AND l_partkey PART),
-excerpts AS (
-  SELECT p.*, (SELECT left(string_agg(line_no || ': ' || trim(text, ' '), ' ' ORDER BY line_no), 280) FROM source_lines l WHERE l.file = p.file AND l.line_no BETWEEN greatest(1, p.start_line - 1) AND p.end_line + 1) AS excerpt
-  FROM called p),
-scored AS (SELECT e.*, coalesce(ticks, 0) AS recency, 1 AS diversity, CASE WHEN length(excerpt) > 0 THEN length(excerpt) ELSE greatest(1, end_col - start_col + 1) END AS brevity FROM excerpts e LEFT JOIN files f ON f.file = e.file),
+_SUGGEST = f"""WITH {bridge.USAGE_SQL}, {bridge.LINES_SQL},
+scored AS (
+  SELECT p.*, excerpt, ticks AS recency, CASE WHEN length(excerpt) > 0 THEN length(excerpt) ELSE greatest(1, end_col - start_col + 1) END AS brevity
+  FROM places p LEFT JOIN excerpts e ON e.file = p.file AND e.start_line = p.start_line AND e.end_line = p.end_line JOIN files f ON f.file = p.file WHERE usage = 'Calls' AND l_partkey PART),
 grouped AS (
-  SELECT workspace, from_id, file, start_line, start_col, coalesce(excerpt, '') AS ek, count(*) AS occurrence, min(symbol_id) AS symbol_id, min(excerpt) AS excerpt, min(recency) AS recency, min(brevity) AS brevity, min(enclosing) AS enclosing
+  SELECT workspace, from_id, file, start_line, start_col, coalesce(excerpt, '') AS ek, count(*) AS occurrence, min({{'d': -diversity, 's': symbol_id}}) AS best, min(excerpt) AS excerpt, min(recency) AS recency, min(brevity) AS brevity, min(enclosing) AS enclosing
   FROM scored GROUP BY workspace, from_id, file, start_line, start_col, end_line, end_col, coalesce(excerpt, ''))
-SELECT occurrence, from_id, start_line, start_col, workspace, symbol_id, file, excerpt, CAST(recency AS BIGINT) AS recency, CAST(1 AS INTEGER) AS diversity, CAST(brevity AS INTEGER) AS brevity, enclosing,
-       'occurrence=' || occurrence || ', recency=' || recency || ', diversity=1, brevity=' || brevity AS rank_reason
-FROM grouped ORDER BY occurrence DESC, recency DESC, brevity, workspace, file, start_line, start_col, from_id LIMIT MOST"""
+SELECT occurrence, from_id, start_line, start_col, workspace, best.s AS symbol_id, file, excerpt, CAST(recency AS BIGINT) AS recency, CAST(-best.d AS INTEGER) AS diversity, CAST(brevity AS INTEGER) AS brevity, enclosing,
+       'frequency=' || occurrence || '; recencyTicks=' || recency || '; diversity=' || -best.d || '; brevity=' || brevity AS rank_reason
+FROM grouped ORDER BY occurrence DESC, recency DESC, -best.d DESC, brevity, workspace, file, start_line, start_col, from_id LIMIT MOST"""
 
 
 @query(_SUGGEST.replace("PART)", "= 17)").replace("MOST", "5"))
 def suggest_usage(spark, sf_dir):
     g = bridge.usage_graph(spark, sf_dir)
-    return usages.suggest_usage(g, usages.symbols(g, symbol_id="Method:Part17@1"), bridge.source_lines(spark, sf_dir), bridge.source_files(spark))
+    return usages.suggest_usage(g, usages.symbols(g, symbol_id="Method:Part17@1"), bridge.source_lines(spark, sf_dir), bridge.source_files(spark, sf_dir))
 
 
 @query(_SUGGEST.replace("PART)", ">= 0)").replace("MOST", "25"))
 def suggest_usage_overall(spark, sf_dir):
     g = bridge.usage_graph(spark, sf_dir)
     wanted = g.nodes.where(F.col("fqn").startswith("Part")).select(F.col("id").alias("symbol_id")).distinct()
-    return usages.suggest_usage(g, wanted, bridge.source_lines(spark, sf_dir), bridge.source_files(spark), most=25)
+    return usages.suggest_usage(g, wanted, bridge.source_lines(spark, sf_dir), bridge.source_files(spark, sf_dir), most=25)
 
 
 # -- http (Q6, Q7, F8-F10) --------------------------------------------------------------------------------------------------------

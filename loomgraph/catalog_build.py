@@ -176,9 +176,12 @@ def changed_kinds(spark, sf_dir):
     return changes.changed_kinds(changes.changed_files(*_snapshots(spark, sf_dir)))
 
 
-@query("SELECT unnest(['http-file-callsite', 'openapi-spec', 'postman-callsite']) AS provider_id")
+_READS = ", ".join(f"('{k}', '{p}')" for k, p in changes.PROVIDERS)
+
+
+@query(f"WITH {_CHANGES} SELECT DISTINCT provider_id FROM changed JOIN (VALUES {_READS}) r(kind, provider_id) USING (kind) WHERE change = 'deleted' AND kind <> 'source'")
 def provider_selection(spark, sf_dir):
-    return changes.providers_to_run(changes.changed_files(*_snapshots(spark, sf_dir)).where("kind = 'http-spec'"))
+    return changes.providers_to_run(changes.changed_files(*_snapshots(spark, sf_dir)).where("change = 'deleted' and kind <> 'source'"))
 
 
 _NAMES = ("src/App.cs", "web/app.tsx", "obj/project.assets.json", "Directory.Build.props", "api/openapi.yaml", "readme.md", "x/Y.CSPROJ", "calls.http", "bin/swagger.json", "c.postman_collection.json", "packages.lock.json")
@@ -238,7 +241,7 @@ UNION ALL SELECT 'r' || page_id, 1, 3, 'GET', url, 'first', NULL FROM pages"""
 def http_file_scan(spark, sf_dir):
     text = F.concat(F.lit("###\n# @name first\nGET "), F.col("url"), F.lit("\n\nbody: no header\n### call"), F.col("page_id").cast("string"), F.lit("\npost "), F.col("url"), F.lit("/{{user}}\nAccept: text/html\nACCEPT: application/json\n\n{}"))
     files = bridge.table(spark, sf_dir, "pages").select(F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("file"), text.alias("text"))
-    return requests.scan(script.lines(files)).select("file", "block", "line_no", "method", "url_template", "name", F.try_element_at("headers", F.lit("accept")).alias("accept"))
+    return requests.scan(script.lines(files)).select("file", "block", "line_no", "method", "url_template", "name", F.try_element_at("headers", F.lit("Accept")).alias("accept"))
 
 
 @query(
@@ -256,16 +259,20 @@ def postman_tree(spark, sf_dir):
     return postman.scan(top.select(F.col("r_name").alias("file"), text.alias("text"))).select("collection", "folder", "name", "method", "url_template")
 
 
+def _specifications(spark, sf_dir) -> DataFrame:
+    """A specification for each customer: two operations, schemas in a response, a request and (which does not count) a parameter."""
+    k = F.col("c_custkey").cast("string")
+    get = F.concat(F.lit('"get":{"operationId":"get'), k, F.lit('","summary":"Reads","tags":["x","'), F.col("c_mktsegment"), F.lit('"],"parameters":[{"schema":{"$ref":"#/components/schemas/Key"}}],"responses":{"200":{"schema":{"$ref":"#/components/schemas/C'), k, F.lit('"}}}}'))
+    text = F.concat(F.lit('{"openapi":"3.0.0","paths":{"/c'), k, F.lit('/{id}":{'), get, F.lit(',"delete":{"responses":{}},"parameters":[]}}}'))
+    return bridge.table(spark, sf_dir, "customer").select(F.concat(F.lit("api/openapi"), k, F.lit(".json")).alias("file"), text.alias("text"))
+
+
 @query(
-    """SELECT 'GET' AS method, '/' || n_name || '/{id}' AS path, 'get' || n_name AS operation_id, 'Reads' AS summary, r_name || ',' || 'x' AS tags, 'Nation' AS schema_refs FROM nation JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT 'DELETE', '/' || n_name || '/{id}', NULL, NULL, NULL, '' FROM nation"""
+    """SELECT 'GET' AS method, '/c' || c_custkey || '/{id}' AS path, 'get' || c_custkey AS operation_id, 'Reads' AS summary, c_mktsegment || ',' || 'x' AS tags, 'C' || c_custkey AS schema_refs FROM customer
+UNION ALL SELECT 'DELETE', '/c' || c_custkey || '/{id}', NULL, NULL, NULL, '' FROM customer"""
 )
 def openapi_operations(spark, sf_dir):
-    n, r = bridge.table(spark, sf_dir, "nation"), bridge.table(spark, sf_dir, "region")
-    get = F.concat(F.lit('"get":{"operationId":"get'), F.col("n_name"), F.lit('","summary":"Reads","tags":["x","'), F.col("r_name"), F.lit('"],"responses":{"200":{"schema":{"$ref":"#/components/schemas/Nation"}}}}'))
-    text = F.concat(F.lit('{"openapi":"3.0.0","paths":{"/'), F.col("n_name"), F.lit('/{id}":{'), get, F.lit(',"delete":{"responses":{}},"parameters":[]}}}'))
-    files = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("file"), text.alias("text"))
-    return openapi.scan(files).select("method", "path", "operation_id", "summary", "tags", "schema_refs")
+    return openapi.scan(_specifications(spark, sf_dir)).select("method", "path", "operation_id", "summary", "tags", "schema_refs")
 
 
 @query(
@@ -295,7 +302,7 @@ def package_dependencies(spark, sf_dir):
 
 @query(
     f"""WITH {bridge.USAGE_SQL}, {bridge.LINES_SQL}, asked AS (SELECT DISTINCT file, start_line, end_line FROM places)
-SELECT file, start_line, (SELECT left(string_agg(line_no || ': ' || trim(text, ' '), ' ' ORDER BY line_no), 280) FROM source_lines l WHERE l.file = a.file AND l.line_no BETWEEN greatest(1, a.start_line - 1) AND a.end_line + 1) AS excerpt FROM asked a"""
+SELECT a.file AS file, a.start_line AS start_line, excerpt FROM asked a LEFT JOIN excerpts e ON e.file = a.file AND e.start_line = a.start_line AND e.end_line = a.end_line"""
 )
 def source_excerpt(spark, sf_dir):
     g = bridge.usage_graph(spark, sf_dir)
@@ -332,30 +339,39 @@ def short_hashes(spark, sf_dir):
 
 
 def _sources(spark, sf_dir) -> DataFrame:
-    """A C# file for each nation: a controller, a mapped route, client calls, and uses of a known type."""
-    n = F.col("n_name")
+    """A C# file for each customer: a controller, mapped routes, client calls with a text, a constant of another file and a format, and uses of a known type."""
+    n = F.concat(F.lit("C"), F.col("c_custkey").cast("string"))
     text = F.concat(
-        F.lit('using X;\nnamespace Shop;\n[ApiController]\n[Route("api/[controller]")]\npublic sealed class '), n, F.lit('Controller : ControllerBase\n{\n    // [HttpPut("no")]\n    [HttpGet("{id:int}")]\n    public IActionResult Read(int id) { return Ok(); }\n}\n'),
-        F.lit("public class Client"), n, F.lit('\n{\n    public Task Send(string s)\n    {\n        app.MapPost("/'), n, F.lit('/{x:guid}", Handler.Do);\n        var part = new Part'), n, F.lit('();\n        part.Ship(s);\n        return http.GetAsync($"/api/{s}/'), n, F.lit('");\n    }\n}\n'),
+        F.lit('using X;\nnamespace Shop;\n[Route("api/[controller]")]\npublic sealed class '), n, F.lit('Controller : ShopController\n{\n    // [HttpPut("no")]\n    [HttpGet("{id:int}")]\n    [ProducesResponseType(404)] [ProducesResponseType(typeof(X), 200)]\n    public IActionResult Read(int id) { return Ok(); }\n    [HttpPost] private void Hidden() { }\n}\n'),
+        F.lit("public class Client"), n, F.lit('\n{\n    public Task Send(string s)\n    {\n        app.MapPost("'), n, F.lit('/{x:guid}", Client'), n, F.lit('.Send);\n        app.MapGet(s, () => 1);\n        var part = new Part'), n, F.lit('();\n        part.Ship(s);\n        http.PutAsync(Routes.Base + "/'), n, F.lit('");\n        http.DeleteAsync(string.Format("/d/{0}/'), n, F.lit('", s));\n        return http.GetAsync($"/api/{s}/'), n, F.lit('");\n    }\n}\n'),
     )
-    return bridge.table(spark, sf_dir, "nation").select(F.concat(n, F.lit(".cs")).alias("file"), text.alias("text"))
+    base = spark.createDataFrame([("src/App/Base.cs", 'namespace Shop;\npublic class ShopController : ControllerBase { }\npublic static class Routes { const string Root = "/v1"; public const string Base = Root + "/b"; }\n')], "file string, text string")
+    return bridge.table(spark, sf_dir, "customer").select(F.concat(F.lit("src/App/"), n, F.lit(".cs")).alias("file"), text.alias("text")).unionByName(base)
 
 
-@query(
-    """SELECT n_name || '.cs' AS file, 'controller' AS scanner, 'GET' AS method, '/api/' || n_name || '/{id}' AS route, 'Shop.' || n_name || 'Controller.Read(int)' AS source, 'high' AS confidence, 9 AS line FROM nation
-UNION ALL SELECT n_name || '.cs', 'minimal-api', 'POST', '/' || n_name || '/{x}', 'Handler.Do', 'high', 15 FROM nation
-UNION ALL SELECT n_name || '.cs', 'http-client', 'GET', '/api/{var}/' || n_name, 'Shop.Client' || n_name || '.Send(string)', 'high', 18 FROM nation"""
-)
+_HTTP_SCAN = """
+k AS (SELECT 'C' || c_custkey AS n, 'src/App/C' || c_custkey || '.cs' AS file FROM customer),
+found AS (
+SELECT n, file, 'controller' AS scanner, 'GET' AS method, '/api/' || lower(n) || '/{id}' AS route, 'Shop.' || n || 'Controller.Read(int)' AS source, 'high' AS confidence, 7 AS line FROM k
+UNION ALL SELECT n, file, 'minimal-api', 'POST', '/' || n || '/{x}', 'Shop.Client' || n || '.Send(string)', 'high', 16 FROM k
+UNION ALL SELECT n, file, 'minimal-api', 'GET', '/unknown', 'lambda:17', 'low', 17 FROM k
+UNION ALL SELECT n, file, 'http-client', 'PUT', '/v1/b/' || n, 'Shop.Client' || n || '.Send(string)', 'high', 20 FROM k
+UNION ALL SELECT n, file, 'http-client', 'DELETE', '/d/{var}/' || n, 'Shop.Client' || n || '.Send(string)', 'high', 21 FROM k
+UNION ALL SELECT n, file, 'http-client', 'GET', '/api/{var}/' || n, 'Shop.Client' || n || '.Send(string)', 'high', 22 FROM k)"""
+
+
+@query(f"WITH {_HTTP_SCAN} SELECT file, scanner, method, route, source, confidence, line FROM found")
 def csharp_http_scan(spark, sf_dir):
     return csharp.scan_http(_sources(spark, sf_dir)).select("file", "scanner", "method", "route", "source", "confidence", "line")
 
 
 @query(
-    """SELECT n_name || '.cs' AS file, 'Shop.Client' || n_name || '.Send(string)' AS source, 'Uses' AS usage, 'Type:Part' || n_name AS symbol_id, 16 AS line, 'medium' AS confidence FROM nation
-UNION ALL SELECT n_name || '.cs', 'Shop.Client' || n_name || '.Send(string)', 'Calls', 'Method:Ship', 17, 'medium' FROM nation"""
+    """SELECT 'src/App/C' || c_custkey || '.cs' AS file, 'Shop.ClientC' || c_custkey || '.Send(string)' AS source, 'Uses' AS usage, 'Type:PartC' || c_custkey AS symbol_id, 18 AS line, 'medium' AS confidence FROM customer
+UNION ALL SELECT 'src/App/C' || c_custkey || '.cs', 'Shop.ClientC' || c_custkey || '.Send(string)', 'Calls', 'Method:Ship', 19, 'medium' FROM customer"""
 )
 def csharp_usage_scan(spark, sf_dir):
-    types = bridge.table(spark, sf_dir, "nation").select(F.concat(F.lit("Type:Part"), "n_name").alias("symbol_id"), F.lit("Type").alias("kind"), F.concat(F.lit("Part"), "n_name").alias("name"))
+    n = F.concat(F.lit("PartC"), F.col("c_custkey").cast("string"))
+    types = bridge.table(spark, sf_dir, "customer").select(F.concat(F.lit("Type:"), n).alias("symbol_id"), F.lit("Type").alias("kind"), n.alias("name"))
     symbols = types.unionByName(spark.createDataFrame([("Method:Ship", "Method", "Ship")], "symbol_id string, kind string, name string"))
     return csharp.scan_uses(_sources(spark, sf_dir), symbols).select("file", "source", "usage", "symbol_id", "line", "confidence")
 
@@ -364,22 +380,21 @@ def csharp_usage_scan(spark, sf_dir):
 
 
 def _symbols(spark, sf_dir) -> DataFrame:
-    """A type for each nation: its base is the nation before it or an outside type, its interfaces its region's, some with the base already."""
-    n = bridge.table(spark, sf_dir, "nation").join(bridge.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    key = F.col("n_nationkey")
-    outside = F.concat(F.lit("Ext.I"), F.col("r_regionkey").cast("string"))
-    return n.select(
-        F.col("r_name").alias("package"), F.lit("1").alias("version"), F.concat("r_name", F.lit(".Core")).alias("assembly"), F.lit("N").alias("namespace"), F.col("n_name").alias("type"), F.lit("class").alias("kind"),
-        F.when(key == 0, F.lit("System.Object")).when(key % 4 == 1, F.lit("Ext.Base")).otherwise(F.concat(F.lit("N.NATION_"), (key - 1).cast("string"))).alias("base"), F.array(outside, F.lit("Ext.IAll")).alias("interfaces"),
+    """A type for each customer: its base is the customer before it or an outside type, its interfaces its nation's, some with the base already."""
+    key = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    return bridge.table(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("package"), F.lit("1").alias("version"), F.concat("c_mktsegment", F.lit(".Core")).alias("assembly"), F.lit("N").alias("namespace"), F.concat(F.lit("T"), text(key)).alias("type"), F.lit("class").alias("kind"),
+        F.when(key % 7 == 0, F.lit("System.Object")).when(key % 4 == 1, F.lit("Ext.Base")).otherwise(F.concat(F.lit("N.T"), text(key - 1))).alias("base"), F.array(F.concat(F.lit("Ext.I"), text(F.col("c_nationkey"))), F.lit("Ext.IAll")).alias("interfaces"),
         F.when(key % 2 == 0, F.array(F.lit("Ext.IAll"))).alias("inherited"), F.array(F.struct(F.lit("Go").alias("name"), F.lit("Go(int)").alias("signature"))).alias("methods"),
     )
 
 
 @query(
-    """WITH t AS (SELECT n_nationkey AS k, n_regionkey AS r, 'Type:N.' || n_name || '@1' AS id FROM nation)
-SELECT id AS from_id, CASE WHEN k % 4 = 1 THEN 'ExternalRef:Ext.Base@external' ELSE 'Type:N.NATION_' || (k - 1) || '@1' END AS to_id, 'Inherits' AS kind FROM t WHERE k > 0
+    """WITH t AS (SELECT c_custkey AS k, c_nationkey AS r, 'Type:N.T' || c_custkey || '@1' AS id FROM customer)
+SELECT id AS from_id, CASE WHEN k % 4 = 1 THEN 'ExternalRef:Ext.Base@external' WHEN k - 1 IN (SELECT k FROM t) THEN 'Type:N.T' || (k - 1) || '@1' ELSE 'ExternalRef:N.T' || (k - 1) || '@external' END AS to_id, 'Inherits' AS kind FROM t WHERE k % 7 <> 0
 UNION ALL SELECT id, 'ExternalRef:Ext.I' || r || '@external', 'Implements' FROM t UNION ALL SELECT id, 'ExternalRef:Ext.IAll@external', 'Implements' FROM t WHERE k % 2 = 1
-UNION ALL SELECT id, 'Method:N.NATION_' || k || '.Go~0028int~0029@1', 'Contains' FROM t"""
+UNION ALL SELECT id, 'Method:N.T' || k || '.Go~0028int~0029@1', 'Contains' FROM t"""
 )
 def symbol_relations(spark, sf_dir):
     g = symbols.graph(_symbols(spark, sf_dir))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomgraph.schema import WHITE
+
 
 def text(attributes: Column, key: str) -> Column:
     """A string attribute; null if it is missing or not a string."""
@@ -20,12 +22,12 @@ def flag(attributes: Column, key: str) -> Column:
 def texts(attributes: Column, key: str) -> Column:
     """The strings of an array attribute, blank ones dropped, sorted; empty if it is missing."""
     items = F.from_json(F.try_element_at(attributes, F.lit(key)), "array<string>")
-    return F.coalesce(F.array_sort(F.filter(items, lambda x: F.trim(x) != "")), F.array().cast("array<string>"))
+    return F.coalesce(F.array_sort(F.filter(items, lambda x: F.trim(x, F.lit(WHITE)) != "")), F.array().cast("array<string>"))
 
 
 def optional(value: Column) -> Column:
     """Trimmed; null if blank."""
-    return F.nullif(F.trim(value), F.lit(""))
+    return F.nullif(F.trim(value, F.lit(WHITE)), F.lit(""))
 
 
 def quoted(value: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomgraph.schema import NODE_KINDS
+from loomgraph.schema import NODE_KINDS, WHITE
 
-_ID = r"^([A-Za-z]+):([A-Za-z0-9._+~-]+)@([A-Za-z0-9._+~-]+)$"
+_ID = r"\A([A-Za-z]+):([A-Za-z0-9._+~-]+)@([A-Za-z0-9._+~-]+)\z"
 
 
 def _unit(code: Column) -> Column:
@@ -16,16 +16,16 @@ def _unit(code: Column) -> Column:
 
 def escape(segment: Column) -> Column:
     """Trims, keeps [A-Za-z0-9._+-] and writes every other UTF-16 code unit as ~ and four hex digits. Null for a blank segment."""
-    text = F.trim(segment)
+    text = F.trim(segment, F.lit(WHITE))
 
     def one(c: Column) -> Column:
         code = F.ascii(c)
         above = code - F.lit(0x10000)
         pair = F.concat(_unit(F.lit(0xD800) + F.shiftright(above, 10)), _unit(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))))
-        return F.when(c.rlike("^[A-Za-z0-9._+-]$"), c).when(code > 0xFFFF, pair).otherwise(_unit(code))
+        return F.when(c.rlike(r"\A[A-Za-z0-9._+-]\z"), c).when(code > 0xFFFF, pair).otherwise(_unit(code))
 
     # text made of safe characters alone, the usual case, skips the walk over its characters
-    return F.when(text == "", F.lit(None)).when(text.rlike("^[A-Za-z0-9._+-]+$"), text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+    return F.when(text == "", F.lit(None)).when(text.rlike(r"\A[A-Za-z0-9._+-]+\z"), text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
 
 
 def node_id(kind: Column | str, fqn: Column, version: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,11 +58,23 @@ def skipped(path: Column) -> Column:
     return F.concat(F.lit("/"), F.replace(path, F.lit("\\"), F.lit("/"))).rlike("(?i)/(" + "|".join(f.replace(".", r"\.") for f in SKIPPED_FOLDERS) + ")/")
 
 
+def below(path: Column, root: str) -> Column:
+    """A path as Spark lists it, relative to the folder that was read; slashes after a scheme and %-escapes of the listing do not matter."""
+    bare = lambda c: F.regexp_replace(c, r"\A[a-z]+:/*", "/")
+    top = re.sub(r"\A[a-z]+:/*", "/", root.rstrip("/")) + "/"
+    plain = F.coalesce(F.try_url_decode(F.replace(bare(path), F.lit("+"), F.lit("%2B"))), bare(path))
+    return F.when(plain.startswith(top), F.substr(plain, F.lit(len(top) + 1))).otherwise(plain)
+
+
 def hash_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(key, kind, rel_path, sha256) of the input files below root, each once."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    tail = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
-    rows = files.select(tail.alias("rel_path"), F.sha2("content", 256).alias("sha256")).withColumn("kind", classify(F.col("rel_path"))).where("kind is not null")
+    return input_hashes(files.select(below(F.col("path"), root).alias("rel_path"), "content"))
+
+
+def input_hashes(files: DataFrame) -> DataFrame:
+    """(key, kind, rel_path, sha256) of the inputs among files (rel_path, content), each once."""
+    rows = files.select("rel_path", F.sha2("content", 256).alias("sha256")).withColumn("kind", classify(F.col("rel_path"))).where("kind is not null")
     assets = F.lower("rel_path").endswith("project.assets.json")  # counts even in a folder that is passed over
     return rows.where(assets | ~skipped(F.col("rel_path"))).select(F.concat_ws(":", "kind", "rel_path").alias("key"), "kind", "rel_path", "sha256").dropDuplicates(["key"])
 
@@ -79,6 +92,14 @@ def changed_files(previous: DataFrame, current: DataFrame) -> DataFrame:
     return both.where(~F.col("old").eqNullSafe(F.col("new"))).select(parse_key(F.col("key")).alias("k"), what.alias("change")).select("k.kind", "k.rel_path", "change")
 
 
+def changed_set(*changes: DataFrame) -> DataFrame:
+    """(file): the different files of several sets of changes."""
+    out = changes[0].select(F.col("rel_path").alias("file"))
+    for c in changes[1:]:
+        out = out.unionByName(c.select(F.col("rel_path").alias("file")))
+    return out.distinct()
+
+
 def changed_kinds(changes: DataFrame) -> DataFrame:
     return changes.select("kind").distinct()
 

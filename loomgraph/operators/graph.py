@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.lineage import cut
+
 
 @dataclass(frozen=True)
 class PropertyGraph:
@@ -60,15 +62,22 @@ class PropertyGraph:
         """Follows Contains edges from roots (workspace, id) through one level for each of kinds. Columns: workspace, id and, for each
         kind in lower case, its node identifier and fqn (null below where a level has nothing)."""
         contains = self.edges.where(F.col("kind") == "Contains").select("workspace", "from_id", "to_id")
-        out, last = roots.select("workspace", "id"), "id"
+        out, last = cut(roots.select("workspace", "id")), "id"
         for i, kind in enumerate(kinds):
             name = kind.lower()
-            node = self.nodes.where(F.col("kind") == kind).select("workspace", F.col("id").alias(f"{name}_id"), F.col("fqn").alias(f"{name}_fqn"), F.col("attributes").alias(f"{name}_attributes"))
-            step = contains.join(node, (contains["to_id"] == node[f"{name}_id"]) & (contains["workspace"] == node["workspace"])).select(contains["workspace"].alias(f"w{i}"), F.col("from_id").alias(f"from{i}"), f"{name}_id", f"{name}_fqn", f"{name}_attributes")
-            out = out.join(step, (F.col("workspace") == F.col(f"w{i}")) & (F.col(last) == F.col(f"from{i}")), "left").drop(f"w{i}", f"from{i}")
+            # what was reached last meets its edges, then the nodes at their ends: no level joins all edges with all nodes, and each is computed once
+            reached = out.select("workspace", F.col(last).alias("from_id")).where("from_id is not null").distinct()
+            ends = contains.join(reached, ["workspace", "from_id"], "left_semi")
+            node = self.nodes.where(F.col("kind") == kind).select("workspace", F.col("id").alias("to_id"), F.col("fqn").alias(f"{name}_fqn"), F.col("attributes").alias(f"{name}_attributes"))
+            step = ends.join(node, ["workspace", "to_id"]).select(F.col("workspace").alias(f"w{i}"), F.col("from_id").alias(f"from{i}"), F.col("to_id").alias(f"{name}_id"), f"{name}_fqn", f"{name}_attributes")
+            out = cut(out.join(step, (F.col("workspace") == F.col(f"w{i}")) & (F.col(last) == F.col(f"from{i}")), "left").drop(f"w{i}", f"from{i}"))
             last = f"{name}_id"
         return out
 
+    def ordered(self) -> PropertyGraph:
+        """The graph with nodes and edges in their fixed orders."""
+        return PropertyGraph(self.nodes.orderBy(*node_order()), self.edges.orderBy(*edge_order()))
+
 
 def node_order() -> list[Column]:
     return [F.col("id").asc()]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import attributes as attr
 from loomgraph.functions.attributes import canonical_key
 from loomgraph.functions.routes import normal_method, normal_path
+from loomgraph.lineage import cut
 from loomgraph.operators.graph import PropertyGraph
 
 
@@ -29,7 +30,11 @@ def id_map(nodes: DataFrame) -> DataFrame:
 
 def merged_attributes(nodes: DataFrame) -> DataFrame:
     """(workspace, canonical, name, value) of the groups of two endpoints or more."""
-    many = _members(nodes).where("size > 1")
+    return _attributes(_members(nodes))
+
+
+def _attributes(members: DataFrame) -> DataFrame:
+    many = members.where("size > 1")
     source = F.coalesce(F.nullif(attr.text(F.col("attributes"), "source"), F.lit("")), F.when(F.lower("version").startswith("project-"), "static").otherwise(F.col("version")))
     pairs = many.select("workspace", "canonical", "id", source.alias("source"), F.explode("attributes").alias("name", "value"))
     # one row for each value, then one for each name: a route that a third of all endpoints share is summed up before it moves
@@ -43,11 +48,11 @@ def merged_attributes(nodes: DataFrame) -> DataFrame:
 
 def reconcile_nodes(nodes: DataFrame) -> DataFrame:
     """All nodes, with the endpoints of one route merged into one."""
-    members = _members(nodes)
+    members = cut(_members(nodes))  # used three times
     refs = (
         members.where("size > 1").select("workspace", "canonical", F.explode("source_refs").alias("ref")).distinct().groupBy("workspace", "canonical").agg(F.array_sort(F.collect_list("ref")).alias("source_refs"))
     )
-    maps = merged_attributes(nodes).groupBy("workspace", "canonical").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("attributes"))
+    maps = _attributes(members).groupBy("workspace", "canonical").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("attributes"))
     head = members.where("size > 1 and id = canonical").drop("attributes", "source_refs", "route", "size").dropDuplicates(["workspace", "id"])
     one = head.join(maps, ["workspace", "canonical"], "left").join(refs, ["workspace", "canonical"], "left").drop("canonical")
     alone = members.where("size = 1").select(nodes.columns)
@@ -57,7 +62,9 @@ def reconcile_nodes(nodes: DataFrame) -> DataFrame:
 def reconcile_edges(nodes: DataFrame, edges: DataFrame, dedup: str = "strict") -> DataFrame:
     """Edges moved to the merged endpoints, then one for each source, target and kind, the first in edge order; attributes tell edges
     apart only with dedup="with_attributes". A graph without endpoints keeps its edges as they are."""
-    ids = id_map(nodes)
+    ids = cut(id_map(nodes))
+    if ids.isEmpty():
+        return edges
     moved = edges
     for end in ("from_id", "to_id"):
         new = ids.select(F.col("workspace"), F.col("id").alias(end), F.col("canonical").alias("__new"))

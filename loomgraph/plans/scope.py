@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.schema import NODE_KINDS
+from loomgraph.schema import NODE_KINDS, WHITE
 
 
 def resolve(known: DataFrame, wanted: Sequence[str] | None) -> list[str] | None:
@@ -28,9 +28,9 @@ def within(workspaces: Sequence[str] | None) -> Column:
 
 
 def required(value: str | None, name: str) -> str:
-    if value is None or not value.strip():
+    if value is None or not value.strip(WHITE):
         raise ValueError(f"{name} is required")
-    return value.strip()
+    return value.strip(WHITE)
 
 
 def kind_named(value: str) -> str:

@@ -1,7 +1,8 @@
 """HTTP endpoints, HTTP calls and package uses in C# source text (S8-S12, S10a-b, S18, F11, F25).
 
 A lexical scan: comments are blanked, classes and methods found by their headers and braces. Without a compiler, names
-resolve against a table of known symbols by simple name, and what cannot be told apart says so in its confidence.
+resolve against a table of known symbols by simple name, and what cannot be told apart says so in its confidence. Constants,
+base classes and handlers of other files are joined by name, over all files that are scanned together.
 """
 
 from __future__ import annotations
@@ -15,18 +16,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GENERATED = r"(?i)(\.g\.cs|\.g\.i\.cs|\.designer\.cs|\.generated\.cs|assemblyinfo\.cs)$"
+from loomgraph.lineage import cut
+
+# How generated files are named and marked.
+GENERATED_ENDS, GENERATED_PARTS, GENERATED_MARKS = (".g.cs", ".g.i.cs", ".generated.cs", ".designer.cs"), (".generated.", ".g."), ("<auto-generated", "<autogenerated")
 # Verbs by attribute and by client method, and status codes by their constant.
 VERB_ATTRIBUTES = {"HttpGet": "GET", "HttpPost": "POST", "HttpPut": "PUT", "HttpDelete": "DELETE", "HttpPatch": "PATCH"}
 MAP_METHODS = {"MapGet": "GET", "MapPost": "POST", "MapPut": "PUT", "MapDelete": "DELETE", "MapPatch": "PATCH"}
 CLIENT_METHODS = {"GetAsync": "GET", "PostAsync": "POST", "PutAsync": "PUT", "DeleteAsync": "DELETE", "PatchAsync": "PATCH", "SendAsync": "UNKNOWN"}
-STATUS = {"Status200OK": 200, "Status201Created": 201, "Status202Accepted": 202, "Status204NoContent": 204, "Status400BadRequest": 400, "Status401Unauthorized": 401, "Status403Forbidden": 403, "Status404NotFound": 404, "Status409Conflict": 409, "Status500InternalServerError": 500}
+STATUS = {"Status200OK": 200, "Status201Created": 201, "Status204NoContent": 204, "Status400BadRequest": 400, "Status401Unauthorized": 401, "Status403Forbidden": 403, "Status404NotFound": 404, "Status409Conflict": 409, "Status422UnprocessableEntity": 422, "Status500InternalServerError": 500}
 
 _COMMENT = re.compile(r'//[^\n]*|/\*.*?\*/|(@"(?:[^"]|"")*"|\$?"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])\')', re.S)
-_CLASS = re.compile(r"\b(?:class|record|struct)\s+([A-Za-z_]\w*)(?:<[^>{]*>)?\s*(?:\([^)]*\)\s*)?(?::\s*([^{;]+?))?\s*(?=\{)")
+_CLASS = re.compile(r"\b(class|record|struct)\s+([A-Za-z_]\w*)(?:<[^>{]*>)?\s*(?:\([^)]*\)\s*)?(?::\s*([^{;]+?))?\s*(?=\{)")
 _METHOD = re.compile(r"\b(?:public|private|protected|internal)\s+(?:(?:static|async|virtual|override|sealed|abstract|partial|new)\s+)*([\w<>\[\],.? ]+?)\s+([A-Za-z_]\w*)\s*\(([^()]*)\)\s*(?=\{|=>)")
 _NAMESPACE = re.compile(r"\bnamespace\s+([\w.]+)")
 _ATTRIBUTE = re.compile(r"\[\s*([A-Za-z_][\w.]*)\s*(?:\((.*?)\))?\s*\]", re.S)
+_CONSTANT = re.compile(r"\bconst\s+string\s+([A-Za-z_]\w*)\s*=\s*([^;]+);")
 _STRING = re.compile(r'\$?@?"((?:\\.|[^"\\])*)"')
 
 
@@ -51,61 +56,113 @@ def _close(text: str, at: int, pair: str = "{}") -> int:
 
 
 @dataclass
-class _Member:
+class _Class:
+    kind: str
     name: str
-    owner: str
     bases: str
     attributes: list[tuple[str, str]]
-    owner_attributes: list[tuple[str, str]]
+    start: int
+    end: int
+
+
+@dataclass
+class _Member:
+    name: str
+    owner: _Class
+    attributes: list[tuple[str, str]]
+    public: bool
+    first: int  # with its attributes
     start: int
     end: int
     parameters: str = ""
 
 
 class Source:
-    """One file: its classes and methods, and the line and column of a place."""
+    """One file: its classes and methods, its constants, and the line and column of a place."""
 
     def __init__(self, text: str) -> None:
         self.text = _without_comments(text)
         self.starts = [0, *(m.end() for m in re.finditer("\n", self.text))]
         space = _NAMESPACE.search(self.text)
         self.namespace = space[1] if space else ""
+        self.classes: list[_Class] = []
         self.methods: list[_Member] = []
         for c in _CLASS.finditer(self.text):
             body = self.text.index("{", c.end())
-            end = _close(self.text, body)
-            own = self._attributes_before(c.start())
-            for m in _METHOD.finditer(self.text, body, end):
-                stop = _close(self.text, m.end()) if self.text[m.end()] == "{" else self.text.find(";", m.end()) + 1 or end
-                self.methods.append(_Member(m[2], c[1], c[2] or "", self._attributes_before(m.start()), own, m.start(), stop, m[3]))
-
-    def _attributes_before(self, at: int) -> list[tuple[str, str]]:
-        """The attributes that stand right before a declaration, modifiers in between."""
-        head = self.text[:at]
-        found = []
+            self.classes.append(_Class(c[1], c[2], c[3] or "", self._attributes_before(c.start())[0], body, _close(self.text, body)))
+        for m in _METHOD.finditer(self.text):
+            owner = self.class_at(m.start())
+            if owner is None:
+                continue
+            stop = _close(self.text, m.end()) if self.text[m.end()] == "{" else self.text.find(";", m.end()) + 1 or owner.end
+            attributes, first = self._attributes_before(m.start())
+            self.methods.append(_Member(m[2], owner, attributes, m[0].startswith("public"), first, m.start(), stop, m[3]))
+        self.constants: dict[tuple[str, str], str] = {}
+        for m in _CONSTANT.finditer(self.text):
+            owner = self.class_at(m.start())
+            value, sure, _ = Url(self, owner).of(m[2])
+            if owner is not None and sure == "high" and "\x01" not in value:
+                self.constants[(owner.name, m[1])] = value
+
+    def class_at(self, at: int) -> _Class | None:
+        inside = [c for c in self.classes if c.start <= at < c.end]
+        return min(inside, key=lambda c: c.end - c.start) if inside else None
+
+    def _attributes_before(self, at: int) -> tuple[list[tuple[str, str]], int]:
+        """The attributes that stand right before a declaration, modifiers in between, and where they begin (else the declaration)."""
+        head, first = self.text[:at], at
+        found: list[tuple[str, str]] = []
         while True:
             head = re.sub(r"(?:\b(?:public|private|protected|internal|static|sealed|abstract|partial|async)\s*)+$", "", head.rstrip()).rstrip()
             if not head.endswith("]"):
-                return found[::-1]
+                return found[::-1], first
             depth, i = 0, len(head)
             while i:
                 i -= 1
                 depth += (head[i] == "]") - (head[i] == "[")
                 if not depth:
                     break
-            found += [(m[1].split(".")[-1], m[2] or "") for m in _ATTRIBUTE.finditer(head[i:])][::-1]
-            head = head[:i]
+            found += [(m[1].split(".")[-1].removesuffix("Attribute"), m[2] or "") for m in _ATTRIBUTE.finditer(head[i:])][::-1]
+            head, first = head[:i], i
 
     def place(self, at: int) -> tuple[int, int]:
         line = bisect_right(self.starts, at)
         return line, at - self.starts[line - 1] + 1
 
+    def span(self, start: int, end: int) -> dict:
+        (line, col), (end_line, end_col) = self.place(start), self.place(end)
+        return {"line": line, "col": col, "end_line": end_line, "end_col": end_col}
+
     def method_at(self, at: int) -> _Member | None:
         inside = [m for m in self.methods if m.start <= at < m.end]
         return min(inside, key=lambda m: m.end - m.start) if inside else None
 
+    def type_name(self, c: _Class) -> str:
+        return ".".join(x for x in (self.namespace, c.name) if x)
+
     def full_name(self, m: _Member) -> str:
-        return ".".join(x for x in (self.namespace, m.owner, f"{m.name}({_types(m.parameters)})") if x)
+        return f"{self.type_name(m.owner)}.{m.name}({_types(m.parameters)})"
+
+    def receiver(self, dot: int) -> int:
+        """Where the expression before a dot begins: names, dots and closed brackets."""
+        i = dot
+        while i:
+            c = self.text[i - 1]
+            if c in ")]":
+                depth, j = 0, i
+                while j:
+                    j -= 1
+                    depth += (self.text[j] in ")]") - (self.text[j] in "([")
+                    if not depth:
+                        break
+                i = j
+            elif c.isalnum() or c in "_.?!":
+                i -= 1
+            elif c.isspace() and (self.text[i:dot].lstrip()[:1] == "." or not self.text[i:dot].strip()):
+                i -= 1
+            else:
+                break
+        return i + len(self.text[i:dot]) - len(self.text[i:dot].lstrip())
 
 
 def _types(parameters: str) -> str:
@@ -113,50 +170,79 @@ def _types(parameters: str) -> str:
 
 
 def _first_string(arguments: str) -> str | None:
-    m = re.match(r'\s*@?"((?:\\.|[^"\\])*)"', arguments)
+    """The first argument if it is a string, given by name or not."""
+    m = re.match(r'\s*(?:\w+\s*[=:]\s*)?@?"((?:\\.|[^"\\])*)"', arguments)
     return m[1] if m else None
 
 
-def _joined(*parts: str | None) -> str:
-    return "/" + "/".join(p.strip("/") for p in parts if p and p.strip("/"))
+def _unconstrained(route: str) -> str:
+    return re.sub(r"\{(\w+):[^}]+\}", r"{\1}", route)
 
 
-def controller_endpoints(text: str) -> list[dict]:
-    """Endpoints of controllers: a class by attribute, base or name, its methods with a verb. A method's own [Route] hides the verb's template."""
-    source, out = Source(text), []
+def _status(arguments: str) -> int | None:
+    """The first argument that is a number or a known constant."""
+    for a in _split(arguments):
+        a = a.strip()
+        if re.fullmatch(r"\d+", a):
+            return int(a)
+        if "." in a and a.split(".")[-1] in STATUS:
+            return STATUS[a.split(".")[-1]]
+    return None
+
+
+def _row(at: Source, start: int, end: int, **found) -> dict:
+    return {"record": "http", "codes": [], "joined": False, "handler": None, "owner": None, "action": None, "client": None, "base": None} | found | at.span(start, end)
+
+
+def controller_endpoints(text: str | Source) -> list[dict]:
+    """Endpoints of controllers: the public methods with a verb of classes that are [ApiController] or come from Controller or ControllerBase; ``base`` names a base
+    that is not in this file. A method's own [Route] hides the verb's template, and only its first verb counts."""
+    source = text if isinstance(text, Source) else Source(text)
+    known = {c.name: c for c in source.classes}
+    out = []
     for m in source.methods:
-        names = {n for n, _ in m.owner_attributes}
-        if not (names & {"ApiController", "Route"} or m.owner.endswith("Controller") or re.search(r"\bController(Base)?\b", m.bases)):
-            continue
         verb = next(((VERB_ATTRIBUTES[n], a) for n, a in m.attributes if n in VERB_ATTRIBUTES), None)
-        if verb is None or any(n == "NonAction" for n, _ in m.attributes):
+        if verb is None or not m.public or m.owner.kind != "class":
             continue
-        prefix = next((_first_string(a) for n, a in m.owner_attributes if n == "Route"), None)
-        template = next((_first_string(a) for n, a in m.attributes if n == "Route"), _first_string(verb[1]))
-        route = _joined(prefix, template)
-        route = re.sub(r"(?i)\[controller\]", re.sub("Controller$", "", m.owner), route)
-        route = re.sub(r"(?i)\[action\]", m.name, route)
-        route = re.sub(r"\{([^}:]+):[^}]*\}", r"{\1}", route)
-        codes = set()
-        for n, a in m.attributes:
-            if n == "ProducesResponseType":
-                codes |= {int(x) for x in re.findall(r"\b(\d{3})\b", a)} | {STATUS[x] for x in re.findall(r"Status\d{3}\w+", a) if x in STATUS}
-        line, col = source.place(m.start)
-        out.append({"scanner": "controller", "method": verb[0], "route": route, "source": source.full_name(m), "confidence": "high", "codes": sorted(codes), "line": line, "col": col})
+        base, at, seen = None, m.owner, set()
+        if not any(n == "ApiController" for n, _ in m.owner.attributes):
+            while at is not None and at.name not in seen:  # up to where the file has no class of the name
+                seen.add(at.name)
+                base = re.sub(r"<.*", "", at.bases.split(",")[0].strip()).split(".")[-1] or None
+                at = known.get(base or "")
+            if base is None or base in seen:
+                continue
+            base = None if base in ("Controller", "ControllerBase") else base
+        prefix = next((_first_string(a) for n, a in m.owner.attributes if n == "Route"), None)
+        template = _first_string(next((a for n, a in m.attributes if n == "Route"), verb[1]))
+        name = m.owner.name
+        short = name.removesuffix("Controller") or name
+        route = "/" + "/".join(p.strip("/") for p in (prefix, template) if p and p.strip("/"))
+        route = re.sub(r"(?i)\[controller\]", lambda _, t=short: t.lower(), route)
+        route = re.sub(r"(?i)\[action\]", lambda _, t=m.name: t.lower(), route)
+        codes = {c for n, a in m.attributes if n == "ProducesResponseType" and (c := _status(a)) is not None}
+        full = source.full_name(m)
+        out.append(_row(source, m.first, m.end, scanner="controller", method=verb[0], route=_unconstrained(route), source=full, handler="method", owner=source.type_name(m.owner), action=m.name, confidence="high", codes=sorted(codes), base=base))
     return out
 
 
-def minimal_endpoints(text: str) -> list[dict]:
-    """Endpoints mapped by MapGet and its like, on any receiver, with two arguments or more; a route that is no constant is ``unknown``."""
-    source, out = Source(text), []
-    for m in re.finditer(r"\.(Map(?:Get|Post|Put|Delete|Patch))\s*\(", source.text):
-        arguments = _split(source.text[m.end() : _close(source.text, m.end() - 1, "()") - 1])
+def minimal_endpoints(text: str | Source) -> list[dict]:
+    """Endpoints mapped by MapGet and its like, on any receiver, with two arguments or more; a route that is no constant is ``unknown``. The handler is a lambda, or a
+    method by its name."""
+    source, out = text if isinstance(text, Source) else Source(text), []
+    for m in re.finditer(r"\.\s*(Map(?:Get|Post|Put|Delete|Patch))\s*\(", source.text):
+        end = _close(source.text, m.end() - 1, "()")
+        arguments = _split(source.text[m.end() : end - 1])
         if len(arguments) < 2:
             continue
-        route = _first_string(arguments[0])
-        line, col = source.place(m.start() + 1)
+        value, sure, _ = Url(source, source.class_at(m.start()), constant=True).of(arguments[0])
+        route = "unknown" if sure != "high" else value
         handler = arguments[1].strip()
-        out.append({"scanner": "minimal-api", "method": MAP_METHODS[m[1]], "route": "unknown" if route is None else re.sub(r"\{([^}:]+):[^}]*\}", r"{\1}", route), "source": handler if re.fullmatch(r"[\w.]+", handler) else f"lambda:{line}", "confidence": "low" if route is None else "high", "codes": [], "line": line, "col": col})
+        at = m.end() + len(arguments[0]) + 1 + len(arguments[1]) - len(arguments[1].lstrip())
+        kind = "lambda" if re.match(r"(?:(?:async|static)\s+)*(?:\([^)]*\)|[A-Za-z_]\w*)\s*=>", handler) else "name" if re.fullmatch(r"[\w.]+", handler) else None
+        named = f"lambda:{source.place(at)[0]}" if kind == "lambda" else handler if kind else None
+        route = "/" if not route.strip() else _unconstrained(route if route.startswith(("/", "\x01")) else "/" + route)
+        out.append(_row(source, source.receiver(m.start()), end, scanner="minimal-api", method=MAP_METHODS[m[1]], route=route, source=named, handler=kind, confidence="low" if sure != "high" else "high"))
     return out
 
 
@@ -177,27 +263,96 @@ def _split(arguments: str) -> list[str]:
     return [*parts, arguments[last:]] if arguments.strip() else []
 
 
+def _added(expression: str) -> list[str]:
+    """The operands of + at the outermost level."""
+    parts, depth, last, i = [], 0, 0, 0
+    while i < len(expression):
+        c = expression[i]
+        if c == '"':
+            m = _STRING.match(expression, i)
+            i = m.end() if m else i + 1
+            continue
+        depth += (c in "([{") - (c in ")]}")
+        if c == "+" and not depth:
+            parts.append(expression[last:i])
+            last = i + 1
+        i += 1
+    return [*parts, expression[last:]]
+
+
+class Url:
+    """What url expressions of one place in a file say: the template, how sure it is, and whether it is a sum. A constant of a class that the file does not have stands
+    in the template as its name between \\x01 and \\x02. With ``constant`` only what a compiler takes for a constant is sure."""
+
+    def __init__(self, source: Source, owner: _Class | None, constant: bool = False) -> None:
+        self.source, self.owner, self.constant = source, owner, constant
+
+    def of(self, expression: str) -> tuple[str, str, bool]:
+        operands = [p.strip() for p in _added(expression)]
+        if len(operands) > 1:
+            parts = [self._one(p) for p in operands]
+            return "".join(t for t, _ in parts), "high" if all(c == "high" for _, c in parts) else "medium", True
+        return *self._one(operands[0]), False
+
+    def _one(self, e: str) -> tuple[str, str]:
+        plain = re.fullmatch(r'(\$?@?|@\$)"((?:\\.|""|[^"\\])*)"', e, re.S)
+        if plain and "$" not in plain[1]:
+            return plain[2].replace('""', '"') if "@" in plain[1] else re.sub(r"\\(.)", r"\1", plain[2]), "high"
+        if plain:
+            return ("unknown", "low") if self.constant else (re.sub(r"\{[^{}]+\}", "{var}", plain[2]), "high")
+        called = re.match(r"[\w.]+\.Format\s*\(", e)
+        if called and _close(e, called.end() - 1, "()") == len(e) and not self.constant:
+            arguments = _split(e[called.end() : -1])
+            text = re.fullmatch(r'@?"((?:\\.|[^"\\])*)"', arguments[0].strip()) if len(arguments) > 1 else None
+            return (re.sub(r"\{[0-9]+\}", "{var}", text[1]), "high") if text else ("unknown", "low")
+        if re.fullmatch(r"[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*", e):
+            path = re.split(r"\s*\.\s*", e)
+            owner = path[-2] if len(path) > 1 else self.owner.name if self.owner else ""
+            value = self.source.constants.get((owner, path[-1])) if hasattr(self.source, "constants") else None
+            if value is not None:
+                return value, "high"
+            if len(path) > 1 and path[-2][:1].isupper() and all(c.name != owner for c in self.source.classes):
+                return f"\x01{owner}.{path[-1]}\x02", "high"
+        return "unknown", "low"
+
+
 def url_of(expression: str) -> tuple[str, str]:
-    """The template of a url expression and how sure it is: constants and interpolations high, concatenations medium, all else low."""
-    e = expression.strip()
-    whole = re.fullmatch(r'(\$?@?|@\$)"((?:\\.|[^"\\])*)"', e)
-    if whole:
-        return (re.sub(r"\{[^{}]+\}", "{var}", whole[2]) if "$" in whole[1] else whole[2]), "high"
-    parts = [p.strip() for p in re.split(r"\+(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", e)]
-    if len(parts) > 1 and any(p.endswith('"') for p in parts):
-        return "".join(url_of(p)[0] if p.endswith('"') else "unknown" for p in parts), "medium"
-    return "unknown", "low"
-
-
-def client_calls(text: str) -> list[dict]:
-    """Calls by HttpClient methods, on any receiver."""
-    source, out = Source(text), []
-    for m in re.finditer(r"\.((?:Get|Post|Put|Delete|Patch|Send)Async)\s*(?:<[^>(]*>)?\(", source.text):
-        arguments = _split(source.text[m.end() : _close(source.text, m.end() - 1, "()") - 1])
-        url, sure = url_of(arguments[0]) if arguments and m[1] != "SendAsync" else ("unknown", "low")
+    """The template of a url expression that stands alone, and how sure it is: texts, interpolations and formats high, sums with anything else medium, all else low."""
+    template, sure, joined = Url(Source(""), None).of(expression)
+    return _unresolved(template, sure, joined)
+
+
+def _unresolved(template: str, sure: str, joined: bool) -> tuple[str, str]:
+    if "\x01" not in template:
+        return template, sure
+    return re.sub("\x01[^\x02]*\x02", "unknown", template), "medium" if joined else "low"
+
+
+def client_calls(text: str | Source) -> list[dict]:
+    """Calls by HttpClient methods, on any receiver; the url of SendAsync is that of a request made there or in a variable of the method."""
+    source, out = text if isinstance(text, Source) else Source(text), []
+    for m in re.finditer(r"\.\s*((?:Get|Post|Put|Delete|Patch|Send)Async)\s*(?:<[^>(]*>)?\(", source.text):
+        end = _close(source.text, m.end() - 1, "()")
+        arguments = _split(source.text[m.end() : end - 1])
         caller = source.method_at(m.start())
-        line, col = source.place(m.start() + 1)
-        out.append({"scanner": "http-client", "method": CLIENT_METHODS[m[1]], "route": url, "source": source.full_name(caller) if caller else None, "confidence": sure, "codes": [], "line": line, "col": col})
+        body = source.text[caller.start : caller.end] if caller else source.text
+        expression = arguments[0].strip() if arguments else ""
+        if m[1] == "SendAsync":
+            made = expression
+            if re.fullmatch(r"[A-Za-z_]\w*", expression):
+                found = re.search(rf"\b{expression}\s*=\s*(?=new\b)", body)
+                made = body[found.end() :] if found else ""
+            opened = re.match(r"new\s*[\w.<>]*\s*\(", made)
+            inner = _split(made[opened.end() : _close(made, opened.end() - 1, "()") - 1]) if opened else []
+            expression = inner[1] if len(inner) > 1 else ""
+        url, sure, joined = Url(source, source.class_at(m.start())).of(expression)
+        start = source.receiver(m.start())
+        receiver = source.text[start : m.start()].strip()
+        client = re.search(r'CreateClient\s*\(\s*"([^"]*)"[^()]*\)\s*$', receiver)
+        if client is None and re.fullmatch(r"[A-Za-z_]\w*", receiver):
+            client = re.search(rf'\b{receiver}\s*=\s*[\w.]*CreateClient\s*\(\s*"([^"]*)"', body)
+        caller_name = source.full_name(caller) if caller else None
+        out.append(_row(source, start, end, scanner="http-client", method=CLIENT_METHODS[m[1]], route=url, source=caller_name, handler="method" if caller else None, confidence=sure, joined=joined, client=client[1] if client else None))
     return out
 
 
@@ -215,22 +370,85 @@ def uses(text: str) -> list[dict]:
 
 def is_generated(file, text):
     """Whether a file was generated: by its name, or by a mark near its beginning."""
-    return file.rlike(GENERATED) | F.lower(F.substring(text, 1, 2048)).contains("<auto-generated")
+    name, head = F.lower(file), F.lower(F.substring(text, 1, 2048))
+    tests = [name.endswith(x) for x in GENERATED_ENDS] + [name.contains(x) for x in GENERATED_PARTS] + [head.contains(x) for x in GENERATED_MARKS]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
 
 
-_HTTP = "file string, scanner string, method string, route string, source string, confidence string, codes array<int>, line int, col int"
+#: What one pass over the files gives: HTTP endpoints and calls (record http), constants, classes and methods that others may refer to.
+_RECORDS = (
+    "file string, record string, scanner string, method string, route string, source string, handler string, owner string, action string, client string, confidence string, joined boolean, codes array<int>, base string, "
+    "line int, col int, end_line int, end_col int"
+)
 
 
-def scan_http(files: DataFrame) -> DataFrame:
-    """Endpoints and calls of all C# files in (file, text), generated ones aside."""
+def records(files: DataFrame) -> DataFrame:
+    """Everything that one scan of the C# files in (file, text) finds, generated ones aside, written once: the plans that use it do not scan again."""
+    columns = [c.split()[0] for c in _RECORDS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in _HTTP.split(", ")]
         for batch in batches:
-            rows = [{"file": f} | r for f, t in zip(batch["file"], batch["text"], strict=True) for r in (*controller_endpoints(t), *minimal_endpoints(t), *client_calls(t))]
-            yield pd.DataFrame(rows, columns=columns)
+            rows = []
+            for f, t in zip(batch["file"], batch["text"], strict=True):
+                s = Source(t)
+                rows += [{"file": f} | r for r in (*controller_endpoints(s), *minimal_endpoints(s), *client_calls(s))]
+                rows += [{"file": f, "record": "constant", "owner": o, "action": n, "route": v} for (o, n), v in s.constants.items()]
+                rows += [{"file": f, "record": "class", "owner": c.name, "base": re.sub(r"<.*", "", c.bases.split(",")[0].strip()).split(".")[-1] or None, "joined": any(n == "ApiController" for n, _ in c.attributes)} for c in s.classes]
+                rows += [{"file": f, "record": "method", "owner": m.owner.name, "action": m.name, "source": s.full_name(m)} | s.span(m.start, m.end) for m in s.methods]
+            whole = [dict.fromkeys(columns) | r for r in rows]  # None, not NaN, where there is nothing
+            yield pd.DataFrame({c: pd.Series([r[c] for r in whole], dtype="Int32" if c in ("line", "col", "end_line", "end_col") else "object") for c in columns})
+
+    return cut(_sources(files).mapInPandas(run, _RECORDS))
+
+
+def controllers_by_base(found: DataFrame) -> DataFrame:
+    """(name) of the classes that come from a controller class of some file: inheritance is followed as deep as it goes, one join for each level."""
+    classes = found.where("record = 'class'").select(F.col("owner").alias("name"), "base", "joined")
+    known = classes.where("joined or base in ('Controller', 'ControllerBase')").select("name").distinct()
+    while True:
+        more = classes.join(known.select(F.col("name").alias("base")), "base", "left_semi").select("name").distinct().join(known, "name", "left_anti")
+        more = cut(more)
+        if more.isEmpty():
+            return known
+        known = known.unionByName(more)
+
+
+def resolved(found: DataFrame) -> DataFrame:
+    """The HTTP records of records(): constants of other files in their urls, controllers only where the base in another file is one, names of handlers turned into methods
+    (source is null where there is none)."""
+    http = found.where("record = 'http'")
+    if not http.where("base is not null").isEmpty():
+        http = http.where("base is null").unionByName(http.where("base is not null").join(controllers_by_base(found).select(F.col("name").alias("base")), "base", "left_semi").select(http.columns))
+    if not http.where(F.col("route").contains("\x01")).isEmpty():
+        # each name once, then all values of a route in one map
+        names = http.select("route", F.explode(F.array_distinct(F.regexp_extract_all("route", F.lit("\x01([^\x02]*)\x02"), F.lit(1)))).alias("name")).distinct()
+        constants = found.where("record = 'constant'").groupBy(F.concat_ws(".", "owner", "action").alias("name")).agg(F.min("route").alias("value"))
+        values = names.join(constants, "name", "left").groupBy("route").agg(F.collect_list(F.struct("name", "value")).alias("values"))  # of one route
+        joined = http.join(values, "route", "left")
+        mark = lambda v: F.concat(F.lit("\x01"), v["name"], F.lit("\x02"))
+        template = F.aggregate(F.coalesce("values", F.array().cast("array<struct<name:string,value:string>>")), F.col("route"), lambda t, v: F.replace(t, mark(v), F.coalesce(v["value"], F.lit("unknown"))))
+        lost = F.coalesce(F.exists("values", lambda v: v["value"].isNull()), F.lit(False))
+        mapped = F.col("scanner") == "minimal-api"
+        sure = F.when(lost & (~F.col("joined") | mapped), "low").when(lost, "medium").otherwise(F.col("confidence"))
+        whole = F.when(mapped & lost, F.lit("/unknown")).when(mapped & ~template.startswith("/"), F.concat(F.lit("/"), template)).otherwise(template)
+        http = joined.withColumn("confidence", sure).withColumn("route", whole).select(http.columns)
+    path = F.split("source", r"\.")
+    called = http.where("handler = 'name'").withColumn("__owner", F.when(F.size(path) > 1, F.element_at(path, -2))).withColumn("__action", F.element_at(path, -1))
+    methods = found.where("record = 'method'").select(F.col("file").alias("m_file"), F.col("owner").alias("m_owner"), F.col("action").alias("__action"), F.col("source").alias("m_source"))
+    # by class and name; a bare name only within its file
+    fits = (F.col("m_owner") == F.col("__owner")) | (F.col("__owner").isNull() & (F.col("m_file") == F.col("file")))
+    key = ["file", "line", "col", "method", "route"]
+    best = called.join(methods, "__action").where(fits).groupBy(*key).agg(F.min("m_source").alias("m_source"))
+    handled = called.join(best, key, "left").withColumn("source", F.col("m_source")).select(http.columns)
+    return http.where("handler is null or handler <> 'name'").unionByName(handled)
+
 
-    return _sources(files).mapInPandas(run, _HTTP)
+def scan_http(files: DataFrame) -> DataFrame:
+    """Endpoints and calls of all C# files in (file, text), generated ones aside."""
+    return resolved(records(files)).select("file", "scanner", "method", "route", "source", "handler", "owner", "action", "client", "confidence", "codes", "line", "col", "end_line", "end_col")
 
 
 def scan_uses(files: DataFrame, symbols: DataFrame) -> DataFrame:

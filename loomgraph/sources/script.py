@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions import attributes as attr
-from loomgraph.functions.ids import node_id, short_hash
-from loomgraph.functions.routes import fetch_method, url_template
-from loomgraph.schema import REFS_DDL
+from loomgraph.functions.ids import short_hash
+from loomgraph.functions.routes import fetch_method, literal_at, url_template
+from loomgraph.sources import emit
 
-# How calls look. In each the last group is the url; of axios calls the first is the verb.
-FETCH_TEXT = r"""fetch\(\s*(?:'([^'"]+)'|"([^'"]+)")"""
-FETCH_TEMPLATE = r"fetch\(\s*`([^`]+)`"
-AXIOS_TEXT = r"""(?i)axios\.(get|post|put|delete|patch)\(\s*(?:'([^'"]+)'|"([^'"]+)")"""
-AXIOS_TEMPLATE = r"(?i)axios\.(get|post|put|delete|patch)\(\s*`([^`]+)`"
+# The client methods that count as calls.
+AXIOS_VERBS = ("get", "post", "put", "delete", "patch")
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -23,24 +19,22 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def _calls(line: Column) -> Column:
-    """array<struct<method, url, confidence>> of one line; fetches on a line share its method option."""
+    """array<struct<method, url, confidence>> of one line: what stands behind each ``fetch(`` and each ``axios.`` (in any case) with a verb. Fetches on a line
+    share its method option; a text in quotes is sure, one in backticks has its expressions replaced."""
+    option = fetch_method(line)
 
-    def found(pattern: str, method, url: int, confidence: str) -> Column:
-        whole = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+    def call(method: Column, rest: Column) -> Column:
+        found = literal_at(rest)
+        url = F.when(found["template"], url_template(found["url"])).otherwise(found["url"])
+        return F.when(found.isNotNull() & method.isNotNull(), F.struct(method.alias("method"), url.alias("url"), F.when(found["template"], "medium").otherwise("high").alias("confidence")))
 
-        def one(m: Column) -> Column:
-            text = F.regexp_extract(m, pattern, url)
-            if confidence == "high":  # in either kind of quotes
-                text = F.concat(text, F.regexp_extract(m, pattern, url + 1))
-            else:
-                text = url_template(text)
-            return F.struct(method(m, pattern).alias("method"), text.alias("url"), F.lit(confidence).alias("confidence"))
+    def client(piece: Column) -> Column:
+        name = F.substring_index(piece, "(", 1)
+        return call(F.when(F.lower(name).isin(*AXIOS_VERBS) & piece.contains("("), F.upper(name)), F.substr(piece, F.length(name) + 2))
 
-        return F.transform(whole, one)
-
-    option = lambda m, p: fetch_method(line)
-    verb = lambda m, p: F.upper(F.regexp_extract(m, p, 1))
-    return F.concat(found(FETCH_TEXT, option, 1, "high"), found(FETCH_TEMPLATE, option, 1, "medium"), found(AXIOS_TEXT, verb, 2, "high"), found(AXIOS_TEMPLATE, verb, 2, "medium"))
+    behind = lambda mark: F.slice(F.split(line, mark), 2, 1 << 20)
+    found = F.concat(F.transform(behind(r"fetch\("), lambda x: call(option, x)), F.transform(behind(r"(?i)axios\."), client))
+    return F.filter(found, lambda c: c.isNotNull())
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -49,20 +43,11 @@ def scan(files: DataFrame) -> DataFrame:
     return rows.select("file", "line_no", F.explode(_calls(F.col("text"))).alias("c")).select("file", "line_no", "c.method", F.col("c.url").alias("url_template"), "c.confidence")
 
 
-def nodes(calls: DataFrame, workspace: str = "main", scanner: str = "regex") -> DataFrame:
+def nodes(calls: DataFrame, workspace: str = "main") -> DataFrame:
     """HttpCallSite nodes of scanned calls."""
-    text = lambda c: attr.quoted(F.col(c))
-    fqn = F.concat(F.lit("call@"), F.col("file"), F.lit(":"), F.col("line_no").cast("string"), F.lit(" "), F.col("method"), F.lit(" "), F.col("url_template"))
-    return calls.select(
-        F.lit(workspace).alias("workspace"),
-        node_id("HttpCallSite", fqn, short_hash(F.col("file"))).alias("id"),
-        F.lit("HttpCallSite").alias("kind"),
-        fqn.alias("fqn"),
-        short_hash(F.col("file")).alias("version"),
-        F.concat_ws(" ", "method", "url_template").alias("display_name"),
-        F.create_map(
-            F.lit("httpMethod"), text("method"), F.lit("urlTemplate"), text("url_template"), F.lit("confidence"), text("confidence"), F.lit("sourceFile"), text("file"),
-            F.lit("sourceLine"), F.col("line_no").cast("string"), F.lit("scanner"), F.lit(f'"{scanner}"'),
-        ).alias("attributes"),
-        F.array(F.struct(F.col("file"), F.array(F.struct(*[v.cast("int").alias(k) for k, v in (("start_line", F.col("line_no")), ("start_col", F.lit(0)), ("end_line", F.col("line_no")), ("end_col", F.lit(0)))])).alias("spans"))).cast(REFS_DDL).alias("source_refs"),
-    )
+    hashed, line = short_hash(F.col("file")), F.col("line_no")
+    fqn = F.concat_ws(".", F.lit("JS"), "method", "url_template", hashed, line.cast("string"))
+    named = emit.attributes(
+        httpMethod=emit.text(F.col("method")), urlTemplate=emit.text(F.col("url_template")), confidence=emit.text(F.col("confidence")), sourceFile=emit.text(F.col("file")), sourceLine=line.cast("string"), scanner=F.lit('"regex"')
+    )
+    return emit.nodes(calls, workspace, "HttpCallSite", fqn, hashed, F.concat_ws(" ", "method", "url_template"), named, emit.place(F.col("file"), line, F.lit(0), line, F.lit(0)))

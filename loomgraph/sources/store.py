@@ -6,7 +6,7 @@ import html
 import json
 import posixpath
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,22 +27,115 @@ def inside(root: str, relative: str) -> str:
     return path
 
 
-def save(graph: PropertyGraph, root: str, version: str) -> None:
-    """Writes nodes and edges by kind into a folder of its own version, then points to it: readers see the old graph or the new one."""
+#: Rows of a file of a stored graph, about.
+FILE_ROWS = 1_000_000
+
+
+def _by_kind(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """df in as many partitions for each kind as its rows ask for, however unequal the kinds are, each in order."""
+    sizes = df.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select("kind", F.ceil(F.col("n") / FILE_ROWS).cast("int").alias("parts"))
+    sizes = [(r["kind"], r["parts"]) for r in sizes.collect()]  # a row for each kind of the fixed list
+    total = max(1, sum(n for _, n in sizes))
+    parts = F.create_map(*[F.lit(x) for pair in sizes for x in pair])[F.col("kind")] if sizes else F.lit(1)
+    return df.withColumn("__part", F.pmod(F.xxhash64(key), parts)).repartition(total, "kind", "__part").sortWithinPartitions("kind", *order).drop("__part")
+
+
+def save(graph: PropertyGraph, root: str, version: str, hashes: DataFrame | None = None) -> None:
+    """Writes nodes and edges by kind into a folder of its own version, then points to it: readers see the old graph or the new one. hashes: key, sha256 of the files that
+    it was built from."""
     spark = graph.nodes.sparkSession
-    graph.nodes.repartition("kind", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("kind", "id").write.mode("overwrite").partitionBy("kind").parquet(inside(root, f"{version}/nodes"))
-    graph.edges.repartition("kind", F.pmod(F.xxhash64("from_id"), F.lit(16))).sortWithinPartitions("kind", "from_id", "to_id").write.mode("overwrite").partitionBy("kind").parquet(inside(root, f"{version}/edges"))
-    spark.createDataFrame([(version, SCHEMA_VERSION)], "version string, schema_version string").coalesce(1).write.mode("overwrite").json(inside(root, "current"))
+    _by_kind(graph.nodes, "id", "id").write.mode("overwrite").partitionBy("kind").parquet(inside(root, f"{version}/nodes"))
+    _by_kind(graph.edges, "from_id", "from_id", "to_id").write.mode("overwrite").partitionBy("kind").parquet(inside(root, f"{version}/edges"))
+    if hashes is not None:
+        hashes.select("key", "sha256").write.mode("overwrite").parquet(inside(root, f"{version}/hashes"))
+    now = spark.sql("select current_timestamp() as last_build")
+    now.select(F.lit(version).alias("version"), F.lit(SCHEMA_VERSION).alias("schema_version"), "last_build").coalesce(1).write.mode("overwrite").json(inside(root, "current"))
+
+
+_MANIFEST = "version string, schema_version string, last_build timestamp"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(version, schema_version, last_build) of the current graph; where there is none yet, no version and the beginning of time."""
+    if _exists(spark, inside(root, "current")):
+        return spark.read.schema(_MANIFEST).json(inside(root, "current"))
+    return spark.sql(f"select cast(null as string) as version, '{SCHEMA_VERSION}' as schema_version, timestamp_seconds(0) as last_build")
 
 
 def load(spark: SparkSession, root: str, version: str | None = None) -> PropertyGraph:
-    """The graph that root points to, or one of its versions. Filters on kind read that kind's folders only."""
+    """The graph that root points to, or one of its versions; an empty one where none was saved. Filters on kind read that kind's folders only."""
+    version = version or manifest(spark, root).first()["version"]
     if version is None:
-        version = spark.read.schema("version string, schema_version string").json(inside(root, "current")).first()["version"]
+        return PropertyGraph(spark.createDataFrame([], NODE_DDL), spark.createDataFrame([], EDGE_DDL))
     read = lambda part, ddl: spark.read.schema(ddl).parquet(inside(root, f"{version}/{part}"))
     return PropertyGraph(read("nodes", NODE_DDL), read("edges", EDGE_DDL))
 
 
+def load_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """(key, sha256) of the files that the current graph was built from; none where it does not say."""
+    version = manifest(spark, root).first()["version"]
+    path = inside(root, f"{version}/hashes")
+    schema = "key string, sha256 string"
+    return spark.read.schema(schema).parquet(path) if version is not None and _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+# -- fragments of providers and packages (S21, S22, K2, K3, U6) -----------------------------------------------------------------------------
+
+
+def ordered(df: DataFrame, provider: int) -> DataFrame:
+    """df with the order in which it counts when fragments are merged."""
+    key = ("id",) if "id" in df.columns else ("from_id", "to_id")
+    return df.withColumn("provider_ord", F.lit(provider)).withColumn("seq", F.xxhash64(*key))
+
+
+def save_fragment(cache: str, provider: str, order: int, nodes: DataFrame, edges: DataFrame) -> None:
+    """Keeps what a provider found, in place of what it found before."""
+    for part, df in (("nodes", nodes), ("edges", edges)):
+        ordered(df, order).write.mode("overwrite").parquet(inside(cache, f"providers/{file_safe(provider)}/{part}"))
+
+
+def has_fragments(spark: SparkSession, cache: str, providers: Sequence[str]) -> bool:
+    """Whether every provider has a whole fragment; one that is missing counts as all."""
+    return all(_exists(spark, inside(cache, f"providers/{file_safe(p)}/{part}/_SUCCESS")) for p in providers for part in ("nodes", "edges"))
+
+
+def load_fragments(spark: SparkSession, cache: str, providers: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges of all providers, with the order in which they count."""
+    read = lambda part, ddl: spark.read.schema(f"{ddl}, provider_ord int, seq long").parquet(*[inside(cache, f"providers/{file_safe(p)}/{part}") for p in providers])
+    return read("nodes", NODE_DDL), read("edges", EDGE_DDL)
+
+
+def file_safe(name: str) -> str:
+    """A name with an underscore for each character that file names should not have."""
+    return re.sub(r"[^a-zA-Z0-9._-]", "_", name)
+
+
+class PackageCache:
+    """Symbols of packages (symbols.SYMBOLS_DDL) by name and version: read once, then asked for."""
+
+    def __init__(self, spark: SparkSession, cache: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, inside(cache, "packages"), schema
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path) if _exists(self.spark, self.path) else self.spark.createDataFrame([], self.schema)
+
+    def get(self, wanted: DataFrame) -> DataFrame:
+        """The symbols of the wanted packages (package, version) that are kept."""
+        return self.rows().join(wanted.select("package", "version").distinct(), ["package", "version"], "left_semi").select(*[c.split()[0] for c in self.schema.split(", ")])
+
+    def misses(self, wanted: DataFrame) -> DataFrame:
+        return cache_misses(wanted, self.rows())
+
+    def add(self, found: DataFrame) -> None:
+        """Keeps the symbols of packages that were missing."""
+        found.write.mode("append").parquet(self.path)
+
+
 _REF_JSON = "array<struct<file:string,spans:array<struct<startLine:int,startColumn:int,endLine:int,endColumn:int>>>>"
 
 
@@ -121,10 +214,22 @@ def shard_rows(df: DataFrame, part: str) -> DataFrame:
     return df.select("kind", F.col("from_id").alias("a"), F.col("to_id").alias("b"), body.alias("json"))
 
 
-def write_shards(graph: PropertyGraph, folder: str) -> None:
-    """A deterministic JSON file for each kind in a local folder, in the order of the rows' identifiers; for exchange, through the driver row by row."""
+#: Rows that an export through the driver takes at most; a larger graph stays in Parquet.
+EXPORT_ROWS = 5_000_000
+
+
+def _small_enough(graph: PropertyGraph, most: int) -> None:
+    n = graph.nodes.count() + graph.edges.count()
+    if n > most:
+        raise ValueError(f"{n} nodes and edges are too many for an export through the driver (at most {most})")
+
+
+def write_shards(graph: PropertyGraph, folder: str, most: int = EXPORT_ROWS) -> None:
+    """A deterministic JSON file for each kind in a local folder, in the order of the rows' identifiers; for exchange, through the driver row by row,
+    so only for graphs of ``most`` rows."""
     import os
 
+    _small_enough(graph, most)
     for part, df, kinds in (("nodes", graph.nodes, NODE_KINDS), ("edges", graph.edges, EDGE_KINDS)):
         os.makedirs(f"{folder}/{part}", exist_ok=True)
         for kind in kinds:
@@ -137,13 +242,29 @@ def write_shards(graph: PropertyGraph, folder: str) -> None:
             os.replace(path + ".tmp", path)
 
 
-def export_html(graph: PropertyGraph, path: str, title: str = "Property graph") -> None:
-    """One HTML page with the whole graph as JSON, for graphs that a browser can hold."""
-    parts = {part: [json.loads(r["json"]) for r in shard_rows(df, part).orderBy("a", "b", "json").toLocalIterator()] for part, df in (("nodes", graph.nodes), ("edges", graph.edges))}
-    data = json.dumps(parts, sort_keys=True, ensure_ascii=False).replace("</", "<\\/")
+_PAGE = (
+    '<!doctype html><meta charset="utf-8"><title>{title}</title><h1>{title}</h1><pre id="out"></pre><script id="graph" type="application/json">',
+    '</script>\n<script>const g=JSON.parse(document.getElementById("graph").textContent);document.getElementById("out").textContent=g.nodes.map(n=>n.id).join("\\n")</script>\n',
+)
+
+
+def export_html(graph: PropertyGraph, path: str, title: str = "Property graph", most: int = EXPORT_ROWS // 10) -> None:
+    """One HTML page with the whole graph as JSON, written row by row, for graphs of ``most`` rows, which a browser can hold."""
+    _small_enough(graph, most)
     with open(path, "w", encoding="utf-8") as f:
-        f.write(f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><pre id="out"></pre><script id="graph" type="application/json">{data}</script>\n')
-        f.write('<script>const g=JSON.parse(document.getElementById("graph").textContent);document.getElementById("out").textContent=g.nodes.map(n=>n.id).join("\\n")</script>\n')
+        f.write(_PAGE[0].format(title=html.escape(title)))
+        for k, (part, df) in enumerate((("edges", graph.edges), ("nodes", graph.nodes))):
+            f.write(f'{"," if k else "{"}"{part}":[')
+            for i, r in enumerate(shard_rows(df, part).orderBy("a", "b", "json").toLocalIterator()):
+                f.write(("," if i else "") + r["json"].replace("</", "<\\/"))
+            f.write("]")
+        f.write("}" + _PAGE[1])
+
+
+def json_lines(result: DataFrame) -> Iterator[str]:
+    """A result as lines of JSON, in its order: what a command line prints (K7)."""
+    for r in result.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+        yield r["j"]
 
 
 def cache_misses(wanted: DataFrame, cached: DataFrame) -> DataFrame:

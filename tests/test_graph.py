@@ -80,7 +80,7 @@ def test_usages(spark, graph):
     lines = spark.createDataFrame([("run.cs", i, f"  line {i} ") for i in range(1, 10)], "file string, line_no int, text string")
     files = spark.createDataFrame([("run.cs", 5)], "file string, ticks long")
     best = usages.suggest_usage(graph, usages.symbols(graph, symbol_id="Method:X.Svc.W.Get@1.2.0"), lines, files, most=1).collect()
-    assert [(r["start_line"], r["excerpt"], r["recency"]) for r in best] == [(7, "6: line 6 7: line 7 8: line 8", 5)]
+    assert [(r["start_line"], r["excerpt"], r["recency"]) for r in best] == [(7, "6: line 6\n7: line 7\n8: line 8", 5)]
     with pytest.raises(ValueError):
         usages.suggest_usage(graph, usages.symbols(graph, symbol_id="x"), lines, files, most=0)
     with pytest.raises(ValueError):

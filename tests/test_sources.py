@@ -27,9 +27,12 @@ def test_script_calls(spark):
 
 
 def test_request_file(spark):
-    text = "###\n# @name listUsers\nGET https://h:1/api/users\nAccept: a\n\n###\nPOST https://h:1/api/users\nContent-Type: application/json\n\n{\n \"name\": \"x\"\n}\n\n### Get user by id\nGET https://h:1/api/users/{{userId}}\nAccept: a"
-    got = [tuple(r) for r in requests.scan(script.lines(files(spark, a=text))).orderBy("block").select("method", "url_template", "name", "headers").collect()]
-    assert got == [("GET", "https://h:1/api/users", "listUsers", {"accept": "a"}), ("POST", "https://h:1/api/users", None, {"content-type": "application/json"}), ("GET", "https://h:1/api/users/{userId}", "Get user by id", {"accept": "a"})]
+    text = "###\n# @name allCarts  and more\nGET https://shop.test/carts\nAccept: a\naccept: b\n\nbody: none\n### Add one\n# @name other\n\nput carts/{{cart}} HTTP/1.1\nX-Key: 1\nno header\nY: 2\n###\nhello\nGET /late\n###\nGETTING /x\n### Bare\nhttps://shop.test/bare"
+    found = requests.scan(script.lines(files(spark, a=text)))
+    got = [tuple(r) for r in found.orderBy("block").select("block", "line_no", "method", "url_template", "name", "headers").collect()]
+    assert got == [(1, 3, "GET", "https://shop.test/carts", "allCarts", {"Accept": "b"}), (2, 11, "PUT", "carts/{cart}", "Add one", {"X-Key": "1"})]
+    ids = [r["fqn"] for r in requests.nodes(files(spark, a=text)).orderBy("fqn").collect()]
+    assert ids[0].startswith("HTTP.GET.https://shop.test/carts.") and ids[0].endswith(".0") and ids[1].endswith(".1")
 
 
 def test_postman(spark):
@@ -60,19 +63,41 @@ def test_solution_and_assets(spark):
 def test_csharp(spark):
     text = 'namespace N;\n[Route("api/[controller]")]\npublic class UsersController : ControllerBase\n{\n [HttpGet]\n [ProducesResponseType(200)]\n [ProducesResponseType(StatusCodes.Status404NotFound)]\n public IActionResult All() { return Ok("}"); }\n // [HttpPut] public void No() { }\n [HttpDelete("{id:int}")] [Route("gone/{id}")]\n public void Drop(int id) { }\n}\nclass C { public Task Go(int i) => h.DeleteAsync("/o/" + i); }\n'
     got = [(r["method"], r["route"], r["source"], r["codes"]) for r in csharp.controller_endpoints(text)]
-    assert got == [("GET", "/api/Users", "N.UsersController.All()", [200, 404]), ("DELETE", "/api/Users/gone/{id}", "N.UsersController.Drop(int)", [])]
+    assert got == [("GET", "/api/users", "N.UsersController.All()", [200, 404]), ("DELETE", "/api/users/gone/{id}", "N.UsersController.Drop(int)", [])]
     assert [(r["method"], r["route"], r["confidence"], r["source"]) for r in csharp.client_calls(text)] == [("DELETE", "/o/unknown", "medium", "N.C.Go(int)")]
     mapped = csharp.minimal_endpoints('app.MapGet("/h", () => "a, b"); app.MapPost(route, Handler.Do); app.MapPut("/x");')
-    assert [(r["method"], r["route"], r["confidence"]) for r in mapped] == [("GET", "/h", "high"), ("POST", "unknown", "low")]
+    assert [(r["method"], r["route"], r["confidence"]) for r in mapped] == [("GET", "/h", "high"), ("POST", "/unknown", "low")]
     rows = csharp.scan_http(files(spark, **{"a.cs": text, "b.Designer.cs": text, "c.cs": "// <auto-generated/>\n" + text, "d.txt": text}))
     assert {r["file"] for r in rows.collect()} == {"a.cs"} and rows.count() == 3
+    named = spark.createDataFrame([(n, "class A { }") for n in ("x.g.cs", "a.generated.b.cs", "q.G.z.cs", "AssemblyInfo.cs", "p.cs")] + [("m.cs", "// <AutoGenerated>\nclass A { }")], "file string, text string")
+    assert sorted(r["file"] for r in named.where(~csharp.is_generated(F.col("file"), F.col("text"))).collect()) == ["AssemblyInfo.cs", "p.cs"]
+
+
+@pytest.mark.parametrize(
+    ("expression", "expected"),
+    [('"/a/" + "b"', ("/a/b", "high")), ('string.Format("/api/{0}/{1}", id, x)', ("/api/{var}/{var}", "high")), ('$"/c/{a.b(1)}/d"', ("/c/{var}/d", "high")), ('"/x/" + id', ("/x/unknown", "medium")), ("id", ("unknown", "low")), ("Other.Url", ("unknown", "low")), ('Other.Url + "/y"', ("unknown/y", "medium")), ("f(x)", ("unknown", "low"))],
+)
+def test_csharp_urls(expression, expected):
+    assert csharp.url_of(expression) == expected
+
+
+def test_csharp_across_files(spark):
+    """Constants, base classes and handlers of other files; what no file has is unknown."""
+    one = 'namespace N;\npublic class CartController : Middle\n{\n [HttpGet("[action]")] public int List() => 1;\n}\npublic class Plain : Elsewhere\n{\n [HttpGet] public int No() => 1;\n}\nclass Up { public void Go() { app.MapGet(Names.Path, Jobs.Run); app.MapPut("x", Jobs.Lost); h.GetAsync(Names.Path + "/z"); h.GetAsync(Names.Gone); f.SendAsync(new HttpRequestMessage(m, "/s")); } }\n'
+    two = 'namespace N;\npublic class Middle : Top { }\npublic class Top : Controller { }\nstatic class Names { public const string Path = "/p" + "/q"; }\nstatic class Jobs { public static int Run(string s) => 1; }\n'
+    got = {(r["scanner"], r["method"], r["route"], r["source"], r["confidence"]) for r in csharp.scan_http(files(spark, **{"a.cs": one, "b.cs": two})).collect()}
+    up = "N.Up.Go()"
+    assert got == {
+        ("controller", "GET", "/list", "N.CartController.List()", "high"), ("minimal-api", "GET", "/p/q", "N.Jobs.Run(string)", "high"), ("minimal-api", "PUT", "/x", None, "high"),
+    } | {("http-client", "GET", "/p/q/z", up, "high"), ("http-client", "GET", "unknown", up, "low"), ("http-client", "UNKNOWN", "/s", up, "high")}
 
 
 def test_hashes_of_a_workspace(spark, tmp_path):
+    root = tmp_path / "a+b (1).c"
     for name, text in (("src/A.cs", "a"), ("obj/project.assets.json", "{}"), ("obj/B.cs", "b"), ("readme.md", "r"), ("api/swagger.yml", "s")):
-        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_text(text)
-    got = sorted(r["key"] for r in changes.hash_files(spark, str(tmp_path)).collect())
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    got = sorted(r["key"] for r in changes.hash_files(spark, str(root)).collect())
     assert got == ["dependency:obj/project.assets.json", "http-spec:api/swagger.yml", "source:src/A.cs"]
 
 
@@ -91,6 +116,23 @@ def test_parquet_store(spark, small, tmp_path):
     assert "PartitionFilters: [isnotnull(kind" in back.find("Type")._jdf.queryExecution().toString()
     with pytest.raises(ValueError):
         store.inside("/a/b", "../c")
+    empty = store.load(spark, str(tmp_path / "none"))
+    assert empty.nodes.count() == 0 and store.manifest(spark, str(tmp_path / "none")).first()["last_build"].year == 1970
+    hashes = spark.createDataFrame([("source:a.cs", "x")], "key string, sha256 string")
+    store.save(small, str(tmp_path / "g"), "v2", hashes)
+    assert store.load_hashes(spark, str(tmp_path / "g")).collect() == hashes.collect() and store.load_hashes(spark, str(tmp_path / "none")).count() == 0
+    assert [json.loads(x) for x in store.json_lines(small.nodes.select("id", "version").orderBy("id"))] == [{"id": "Package:P@1", "version": "1"}, {"id": "Type:A@1", "version": "1"}]
+
+
+def test_large_kinds_get_more_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FILE_ROWS", 10)
+    rows = [("main", f"{k}:n{i}@1", k, f"n{i}", "1", f"n{i}", {}, []) for k, n in (("Type", 95), ("Package", 3)) for i in range(n)]
+    graph = PropertyGraph(spark.createDataFrame(rows, NODE_DDL), spark.createDataFrame([], EDGE_DDL))
+    store.save(graph, str(tmp_path / "g"), "v")
+    count = lambda kind: len(list((tmp_path / "g/v/nodes" / f"kind={kind}").glob("*.parquet")))
+    assert count("Type") > 3 >= count("Package") == 1 and store.load(spark, str(tmp_path / "g")).nodes.count() == 98
+    with pytest.raises(ValueError, match="too many"):
+        store.write_shards(graph, str(tmp_path / "s"), most=50)
 
 
 def test_json_shards_round_trip(spark, small, tmp_path):
