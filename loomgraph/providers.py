@@ -5,27 +5,34 @@ File paths are relative to the workspace. Node identifiers, versions and attribu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.build import Provider
-from loomgraph.functions import routes  # noqa: F401  (route expressions live there)
 from loomgraph.functions.ids import file_key_hash, node_id, project_version, short_hash
+from loomgraph.lineage import cut
 from loomgraph.operators.changes import skipped
 from loomgraph.operators.merge import last_version, usage_edges
 from loomgraph.schema import EDGE_DDL, SPAN_DDL
 from loomgraph.sources import csharp, emit, openapi, postman, requests, script, solution, symbols
 
-_scanned: WeakKeyDictionary = WeakKeyDictionary()
+_known: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _once(files: DataFrame, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What several providers need of the same files, made by the first of them."""
+    found = _known.setdefault(files, {})
+    if name not in found:
+        found[name] = make()
+    return found[name]
 
 
 def _records(files: DataFrame) -> DataFrame:
-    """One scan of the C# files, shared by the providers that read them."""
-    if files not in _scanned:
-        _scanned[files] = csharp.records(files)
-    return _scanned[files]
+    """One scan of the C# files."""
+    return _once(files, "records", lambda: csharp.records(files))
 
 
 def _folder(path: Column) -> Column:
@@ -34,13 +41,21 @@ def _folder(path: Column) -> Column:
 
 def project_files(files: DataFrame) -> DataFrame:
     """(project_path) of the projects: those that solutions list, below the solution's folder, and where there is no solution every .csproj."""
+    return _once(files, "projects", lambda: cut(_projects(files)))
+
+
+def _projects(files: DataFrame) -> DataFrame:
     listed = solution.projects(files).select(F.concat(_folder(F.col("file")), F.col("project_path")).alias("project_path")).distinct()
     own = files.where(F.lower("file").endswith(".csproj") & ~skipped(F.col("file"))).select(F.col("file").alias("project_path"))
     return own if listed.isEmpty() else listed
 
 
-def tokens(files: DataFrame, projects: DataFrame) -> DataFrame:
+def tokens(files: DataFrame) -> DataFrame:
     """(file, token): the version of user code in each C# file, by the project in the nearest folder above it; ``project`` where there is none."""
+    return _once(files, "tokens", lambda: cut(_tokens(files, project_files(files))))
+
+
+def _tokens(files: DataFrame, projects: DataFrame) -> DataFrame:
     names = files.where(F.lower("file").endswith(".cs")).select("file")
     parts = F.split("file", "/")
     # each folder above a file is a key of its own, so the nearest one is an equi-join and a maximum
@@ -51,8 +66,8 @@ def tokens(files: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def _http(files: DataFrame, scanner: str) -> DataFrame:
-    found = csharp.resolved(_records(files).where((F.col("record") != "http") | (F.col("scanner") == scanner)))
-    return found.join(tokens(files, project_files(files)), "file")
+    made = lambda: cut(csharp.resolved(_records(files)).join(tokens(files), "file"))
+    return _once(files, "http", made).where(F.col("scanner") == scanner)
 
 
 def _span() -> Column:
@@ -105,7 +120,7 @@ def client_calls(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, Data
 
 def _methods(files: DataFrame) -> DataFrame:
     """(source, token, refs): the methods of user code, each once with all its places."""
-    rows = _records(files).where("record = 'method'").join(tokens(files, project_files(files)), "file")
+    rows = _records(files).where("record = 'method'").join(tokens(files), "file")
     span = F.struct(*[F.col(c).alias(n) for c, n in (("line", "start_line"), ("col", "start_col"), ("end_line", "end_line"), ("end_col", "end_col"))])
     by_file = rows.groupBy("source", "token", "file").agg(F.array_sort(F.collect_set(span)).alias("spans"))
     return by_file.groupBy("source", "token").agg(F.array_sort(F.collect_list(F.struct("file", "spans"))).alias("refs"))
@@ -143,19 +158,19 @@ def dotnet(known: DataFrame | None = None):
             # usage is of the package version that the file's own project has; of several frameworks the last one counts
             versions = last_version(uses.select(F.concat_ws("\n", "project", "package").alias("package"), "version", F.col("tfm").alias("tfm_ord")))
             versions = versions.select(project_version(F.split("package", "\n")[0]).alias("token"), F.split("package", "\n")[1].alias("assembly"), "version")
-            nodes, edges = emit.union(nodes, api.nodes), emit.union(edges, api.edges, _usage(files, projects, known, versions))
+            nodes, edges = emit.union(nodes, api.nodes), emit.union(edges, api.edges, _usage(files, known, versions))
         return nodes, edges
 
     return collect
 
 
-def _usage(files: DataFrame, projects: DataFrame, known: DataFrame, versions: DataFrame) -> DataFrame:
+def _usage(files: DataFrame, known: DataFrame, versions: DataFrame) -> DataFrame:
     """Calls and Uses edges from user methods to the symbols of the package versions of their project."""
     types = known.withColumn("type_name", F.concat_ws(".", F.nullif(F.col("namespace"), F.lit("")), "type"))
     by_type = types.select("assembly", "version", F.lit("Type").alias("kind"), F.col("type").alias("name"), node_id("Type", F.col("type_name"), F.col("version")).alias("target"))
     by_method = types.select("assembly", "version", "type_name", F.explode("methods").alias("m")).select("assembly", "version", F.lit("Method").alias("kind"), F.col("m.name").alias("name"), node_id("Method", F.concat_ws(".", "type_name", "m.signature"), F.col("version")).alias("target"))
     table = by_type.unionByName(by_method).select(F.concat_ws("\n", "target", "assembly", "version").alias("symbol_id"), "kind", "name")
-    sites = csharp.scan_uses(files, table).join(tokens(files, projects), "file")
+    sites = csharp.scan_uses(files, table).join(tokens(files), "file")
     at = F.split("symbol_id", "\n")
     sites = sites.select("file", "source", "usage", "token", "line", "col", "end_col", at[0].alias("target"), at[1].alias("assembly"), at[2].alias("version")).join(versions, ["token", "assembly", "version"], "left_semi")
     span = F.struct(F.col("line").alias("start_line"), F.col("col").alias("start_col"), F.col("line").alias("end_line"), F.col("end_col")).cast(SPAN_DDL)
