@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fresh_worker, result_schema, slices, text_bytes, text_size
+from loomgraph.llm.common import fresh_worker, frequent, join_spread, result_schema, slices, text_bytes, text_size
 
 WINDOW = 35
 #: Cells of a row of the sketch: the least, and the most.
@@ -325,7 +325,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", kept: str = "kept_text",
     With changed_only, a text that loses nothing stays as it is."""
     key = "__lg_key"
     spans = repeated_spans(docs, text, window).groupBy("key").agg(F.collect_set("spans").alias("__lg_spans")).withColumnRenamed("key", key)  # of one text, from each shard at most one
-    joined = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))).join(spans, key, "left").drop(key)
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    copies = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    joined = join_spread(keyed, spans, key, frequent(copies, key, "n"), "left").drop(key)
     schema = result_schema(docs, f"n_words long, n_removed long, `{kept}` string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
