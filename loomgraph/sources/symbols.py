@@ -1,6 +1,7 @@
 """Package symbols as graph: assemblies, namespaces, types, methods and how types relate (the graph side of S7; J16, J17).
 
-Symbols come as a table, one row for each exported type, from whatever reads assemblies.
+Symbols come as a table, one row for each exported type, from assemblies.read() or whatever else reads assemblies. Where its methods have a field ``shown``, that is
+their signature in the graph; the identifier is made of ``signature``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ def graph(symbols: DataFrame, workspace: str = "main") -> PropertyGraph:
     an ExternalRef. The root object is no base, and interfaces that come with the base are left out."""
     version = F.col("version")
     s = symbols.withColumn("type_name", F.concat_ws(".", F.nullif(F.col("namespace"), F.lit("")), "type"))
-    methods = s.select("version", "type_name", F.explode("methods").alias("m")).select("version", "type_name", F.concat_ws(".", "type_name", "m.signature").alias("method_name"), "m.signature").distinct()
+    shown = "shown" if "shown" in s.schema["methods"].dataType.elementType.names else "signature"
+    listed = s.select("version", "type_name", F.explode("methods").alias("m")).select("version", "type_name", F.concat_ws(".", "type_name", "m.signature").alias("method_name"), F.col(f"m.{shown}").alias("signature"))
+    methods = listed.groupBy("version", "type_name", "method_name").agg(F.min("signature").alias("signature"))
     space = F.when(F.coalesce("namespace", F.lit("")) == "", F.lit("global")).otherwise(F.col("namespace"))
 
     def node(df: DataFrame, label: str, fqn: Column, /, **attributes: Column) -> DataFrame:
