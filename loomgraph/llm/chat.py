@@ -103,7 +103,8 @@ def levels(calls: DataFrame) -> DataFrame:
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """calls: conv_id, turn, call_id, name, arguments (JSON text), depends_on (array of call_id); results: turn, call_id, content.
-    For each call, by identifier: conv_id, turn, call_id, name, level, result_turn, valid, errors (array) and json."""
+    For each call, by identifier: conv_id, turn, call_id, name, level, result_turn, valid, errors (array) and json.
+    A call or result without an identifier links to nothing and is left out; of several calls (results) of one identifier the first counts."""
     first = lambda df, cols: df.groupBy("call_id").agg(F.min(F.struct(*cols)).alias("s")).select("call_id", "s.*")
     one = first(calls.where("call_id is not null"), ["conv_id", "turn", "name", "arguments", "depends_on"])
     answer = first(results.where("call_id is not null"), ["turn", "content"]).select("call_id", F.col("turn").alias("result_turn"), F.col("content").alias("result"))
