@@ -11,9 +11,9 @@ Cases: a null text is the end-of-document id alone; an empty table gives no piec
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ LENGTH = 2048
 GRAIN = 16
 DEPTH = 3
 END_ID = 1
-#: Words whose ids a worker remembers, in each of two generations.
+#: Units (parts of words) whose ids a worker remembers, in each of two generations.
 REMEMBERED = 300_000
 #: Bytes of text that are tokenised together.
 CHUNK = 2_000_000
@@ -39,83 +39,236 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Letters with a run of marks behind them: each is one unit of the vocabulary's splitting. An apostrophe joins with letters, and < may begin a special token.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{-~]*)")
+#: What the bytes of a text are: white space, letters, digits, marks, and all else. An apostrophe joins with letters, and < may begin a special token.
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+_KINDS = bytes(
+    SPACE if c in b" \t\n\x0b\x0c\r" else OTHER if c in b"'<" or not 32 < c < 127 else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else MARK for c in range(256)
+)
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_SPACES = re.compile(rb"[ \t\n\x0b\x0c\r]")
+#: Bytes of the longest run of letters that is merged in arrays.
+LONGEST = 64
+
+#: The steps of a vocabulary that WordIds takes apart: they drop white space and case, and split off runs of letters, digits and runs of other marks.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False}
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a vocabulary of bytes: printable ones for themselves, the others for letters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (chr(256 + k) for k in range(256))
+    return [chr(c) if c in shown else next(others) for c in range(256)]
+
+
+class Merges:
+    """The pair merges of a vocabulary, done on many words at once: of a word's adjacent pairs the one of least rank is merged, the leftmost of equals, until none is left.
+
+    All words of as many tokens form one matrix. A merge makes a row one token shorter, so rows go from the longest width
+    to the next, where the words that begin with that width join them."""
+
+    def __init__(self, model: dict) -> None:
+        ids = model["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.inner = np.array([ids[c] for c in _byte_letters()], np.uint16)
+        self.last = np.array([ids[c + "</w>"] for c in _byte_letters()], np.uint16)
+        self.none = len(pairs)
+        self.made = np.array([ids[a + b] for a, b in pairs], np.uint16)
+        # pairs by a hash, each in the first free place from there on
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        size = 1 << self.bits
+        self.ranks = np.full(size + 1, self.none, np.int32)
+        self.pairs = np.zeros(size + 1, np.uint32)
+        for (a, b), rank in {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(pairs)}.items():
+            key = a << 16 | b
+            at = (key * 2654435769 & 0xFFFFFFFF) >> (32 - self.bits)
+            while self.ranks[at] != self.none:
+                at = (at + 1) % size
+            self.pairs[at], self.ranks[at] = key, rank
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair; self.none where it is not merged."""
+        key = (a.astype(np.uint32) << np.uint32(16)) | b
+        at = ((key * np.uint32(2654435769)) >> np.uint32(32 - self.bits)).astype(np.int64)
+        out = self.ranks[at]
+        ask = np.flatnonzero((self.pairs[at] != key) & (out != self.none))
+        while len(ask):
+            at[ask] = (at[ask] + 1) & ((1 << self.bits) - 1)
+            out[ask] = self.ranks[at[ask]]
+            ask = ask[(self.pairs[at[ask]] != key[ask]) & (out[ask] != self.none)]
+        return out
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The token ids of each word (one byte at least), as little-endian 16-bit numbers."""
+        out: list[bytes] = [b""] * len(words)
+        by_width: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_width.setdefault(len(w), []).append(i)
+        which, rows, ranks = np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.int32)
+        for width in range(max(by_width, default=0), 0, -1):
+            # a rank for each token and the next one, none for the last
+            rows, ranks = rows.reshape(-1, width), ranks.reshape(-1, width)
+            if own := by_width.get(width):
+                letters = np.frombuffer(b"".join([words[i] for i in own]), np.uint8).reshape(-1, width)
+                fresh = self.inner[letters]
+                fresh[:, -1] = self.last[letters[:, -1]]
+                first = np.full(fresh.shape, self.none, np.int32)
+                first[:, :-1] = self.rank(fresh[:, :-1].ravel(), fresh[:, 1:].ravel()).reshape(-1, width - 1) if width > 1 else 0
+                which, rows, ranks = np.concatenate([which, own]), np.concatenate([rows, fresh]), np.concatenate([ranks, first])
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(rows)), at]
+            go = least < self.none
+            data = rows[~go].astype("<u2").tobytes()
+            for k, i in enumerate(which[~go].tolist()):
+                out[i] = data[2 * width * k : 2 * width * (k + 1)]
+            which, rows, ranks, at, least = which[go], rows[go], ranks[go], at[go], least[go]
+            here = np.arange(len(rows))
+            rows[here, at] = self.made[least]
+            keep = np.ones(rows.shape, bool)
+            keep[here, at] = False
+            ranks = ranks[keep].reshape(len(here), width - 1)
+            keep[here, at] = True
+            keep[here, at + 1] = False
+            rows = rows[keep].reshape(len(here), width - 1)
+            left, right = here[at > 0], here[at < width - 2]
+            ranks[left, at[left] - 1] = self.rank(rows[left, at[left] - 1], rows[left, at[left]])
+            ranks[right, at[right]] = self.rank(rows[right, at[right]], rows[right, at[right] + 1])
+        return out
 
 
 class WordIds:
-    """Token ids as little-endian bytes, word by word: this vocabulary drops white space and case, so no token crosses words.
+    """Token ids of texts as little-endian bytes.
 
-    Letters and the marks behind them are looked up apart, so a word and its variants are tokenised once. Unknown letters are
-    tokenised many at a time: each ends with the first token that the vocabulary marks as ending a word."""
+    The public vocabulary drops white space and case, so no token crosses words, and splits words into runs of letters, digits
+    and runs of marks. Texts are taken apart in arrays into these units, a word with anything else in it being one unit; each
+    different unit of a chunk is looked up once. Unknown letters are merged together (Merges), other units go to the tokeniser.
+    Any other kind of vocabulary gets whole texts."""
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        size = max(vocabulary.values()) + 1
+        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.ends = np.zeros(size, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        # words and the letters that they begin with, in two generations: what is still in use moves from the older to the newer one
+        # units in two generations: what is still in use moves from the older to the newer one
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.marks: dict[bytes, bytes] = {b"": b""}
-
-    def _each(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-
-    def _recall(self, words: set[bytes]) -> set[bytes]:
-        """Those of the words that neither generation knows."""
-        new = words.difference(self.known)
-        old = self.older
-        self.known.update([(w, old[w]) for w in new if w in old])
-        return new.difference(self.known) if old else new
-
-    def _learn_stems(self, stems: list[bytes]) -> None:
-        for i in range(0, len(stems), 300):
-            part = stems[i : i + 300]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.dtype)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(part) and cut[-1] == len(ids):
-                data, w = ids.tobytes(), self.dtype.itemsize
-                ends = (cut * w).tolist()
-                self.known.update(zip(part, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-            else:
-                self.known.update(zip(part, self._each(part), strict=True))
+        parts = json.loads(definition)
+        self.merges = Merges(parts["model"]) if size <= 1 << 16 and self._splits(parts) else None
+
+    @staticmethod
+    def _splits(parts: dict) -> bool:
+        """Whether the vocabulary's steps are those that this class does in arrays."""
+        model, added = parts["model"], parts.get("added_tokens") or []
+        return (
+            parts.get("normalizer") == _NORMALIZER
+            and parts.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+            and not any(parts.get(k) for k in ("truncation", "padding", "post_processor"))
+            and all(model.get(k) == v for k, v in _MODEL.items())
+            and all(c in model["vocab"] and c + "</w>" in model["vocab"] for c in _byte_letters())
+            and all(t["content"].startswith("<") and not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
+        )
+
+    def _each(self, units: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(units), 20_000):
+            part = [u.decode() for u in units[i : i + 20_000]]
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+    def _look_up(self, units: list[bytes]) -> list[bytes]:
+        """The ids of each of the different units."""
+        known, older = self.known, self.older
+        ids = list(map(known.get, units))
+        new = [i for i, x in enumerate(ids) if x is None]
+        if older:
+            for i in new:
+                ids[i] = older.get(units[i])
+            known.update([(units[i], ids[i]) for i in new if ids[i] is not None])
+            new = [i for i in new if ids[i] is None]
+        if len(known) + len(new) > REMEMBERED:
+            self.older = known
+            self.known = known = {u: x for u, x in zip(units, ids, strict=True) if x is not None}
+        letters = _LETTERS.fullmatch
+        stems = [i for i in new if len(units[i]) <= LONGEST and letters(units[i])]
+        others = sorted(set(new).difference(stems))
+        for at, found in ((stems, self.merges.of([units[i] for i in stems])), (others, self._each([units[i] for i in others]))):
+            for i, x in zip(at, found, strict=True):
+                ids[i] = known[units[i]] = x
+        return ids
+
+    def _chunk(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, of all units at once."""
+        data = b"\n".join(texts) + b"\n"
+        raw = np.frombuffer(data, np.uint8)
+        kind = np.frombuffer(bytearray(data.translate(_KINDS)), np.uint8)
+        low = np.frombuffer(bytearray(data.lower()), np.uint8)  # of bytes: A-Z alone
+        lead = np.flatnonzero(raw == 0xC3)
+        tail = raw[lead + 1]
+        letter = (tail >= 0x80) & (tail <= 0xBF) & (tail != 0x97) & (tail != 0xB7)
+        lead, tail = lead[letter], tail[letter]
+        kind[lead] = kind[lead + 1] = LETTER
+        low[lead + 1] = np.where(tail < 0x9F, tail + 32, tail)
+        other = np.flatnonzero(kind == OTHER)
+        if len(other):  # the words that they are in, as they stand
+            spaces = np.flatnonzero(kind == SPACE)
+            word = np.unique(np.searchsorted(spaces, other))
+            begin = np.where(word > 0, spaces[word - 1] + 1, 0)
+            size = spaces[word] - begin
+            at = _ranges(begin, size)
+            kind[at], low[at] = OTHER, raw[at]
+        inside = kind != SPACE
+        first = kind == DIGIT
+        first[0] |= inside[0]
+        first[1:] |= kind[1:] != kind[:-1]
+        first &= inside
+        starts = np.flatnonzero(first[inside])
+        letters = low[inside]
+        places = np.append(starts, len(letters)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(letters)]).dictionary_encode()
+        index = np.frombuffer(units.indices.buffers()[1], np.int32, len(starts))
+        _, ends, content = units.dictionary.buffers()
+        ends, content = np.frombuffer(ends, np.int32, len(units.dictionary) + 1).tolist(), content.to_pybytes()
+        ids = self._look_up([content[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        width = self.dtype.itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        begins = np.cumsum(sizes) - sizes
+        own = sizes[index]
+        tokens = np.frombuffer(b"".join(ids), self.dtype)[_ranges(begins[index], own)].tobytes()
+        upto = np.concatenate([[0], np.cumsum(own)])
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        cuts = (upto[np.searchsorted(np.flatnonzero(first), text_ends)] * width).tolist()
+        return [tokens[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        here = set(chain.from_iterable(words))
-        if len(self.known) + len(here.difference(self.known)) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        new = self._recall(here)
-        plain = [(w, w.lower(), b"") for w in new if w.isalpha()]  # of bytes: A-Z and a-z alone
-        odd = []
-        for w in new:
-            if not w.isalpha():
-                m = _PLAIN.fullmatch(w)
-                if m:
-                    plain.append((w, m[1].lower(), m[2]))
-                else:
-                    odd.append(w)
-        self._learn_stems(sorted(self._recall({s for _, s, _ in plain})))
-        if len(self.marks) > REMEMBERED // 10:
-            self.marks = {b"": b""}
-        runs = sorted({p for _, _, p in plain}.difference(self.marks))
-        self.marks.update(zip(runs, self._each(runs), strict=True))
-        known, marks = self.known, self.marks
-        known.update([(w, known[s] + marks[p]) for w, s, p in plain])
-        for i in range(0, len(odd), 20_000):
-            part = odd[i : i + 20_000]
-            known.update(zip(part, self._each(part), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        """The ids of each text; long texts go in parts."""
+        if self.merges is None:
+            return self._each(texts)
+        if sum(map(len, texts)) <= 2 * CHUNK:
+            return self._chunk(texts)
+        return [b"".join([self._chunk([p])[0] for p in _parts(t)]) for t in texts]
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, as many as its size, one range behind the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """A long text in parts of about CHUNK bytes that end before white space."""
+    at = 0
+    while at < len(text):
+        space = _SPACES.search(text, at + CHUNK)
+        to = space.start() if space else len(text)
+        yield text[at:to]
+        at = to
 
 
 def _worker_ids(definition: str) -> WordIds:
-    """The WordIds of this Python worker: what it has learnt stays for its next tasks, up to REMEMBERED words."""
+    """The WordIds of this Python worker: what it has learnt stays for its next tasks, up to REMEMBERED units."""
     import sys
     import types
 

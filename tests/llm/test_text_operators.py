@@ -335,6 +335,61 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0)).collect() == []
 
 
+def _syllables(seed, n):
+    """Texts of words that hardly come twice."""
+    rng = np.random.default_rng(seed)
+    parts = np.array("the an re ing tion or er ou th en ble ly sh nd ea ti in at on es is hé ça ñu ED Wh".split())
+    words = ["".join(w) for w in parts[rng.integers(0, len(parts), (n, 4))]]
+    return [" ".join(words[i : i + 500]) + "." for i in range(0, n, 500)]
+
+
+def test_packing_ids_of_odd_texts(monkeypatch):
+    """Units, looked up, merged in arrays or tokenised, in parts and with a small memory, are what the tokeniser makes of whole texts."""
+    from tokenizers import Tokenizer
+
+    definition = open(packing.default_vocabulary(), encoding="utf-8").read()
+    rng = np.random.default_rng(3)
+    bits = ["a", "B", "th", "ing", "É", "é", "ß", "ÿ", "×", "÷", "'", "'s", "<", "<|endoftext|>", "<|StartOfText|>", "7", "12", "٣", "²", "ª", "_", "!!", " ", "  ", "\n", "\t", "\u00a0", "\u2028", "\x85", "\x1c"]
+    bits += ["\0", "\x7f", "\u0301", "İ", "ſ", "中文", "😀", "가", "\u1100\u1161", "œ", "Z", "|", "\x0b", "\r", "x" * 70, "é" * 40]
+    texts = ["".join(rng.choice(bits, k)) for k in rng.integers(0, 40, 3000)] + ["", " ", "\n\n"] + _syllables(1, 5000)
+    want = [np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_str(definition).encode_batch_fast(texts, add_special_tokens=False)]
+    data = [t.encode() for t in texts]
+    words = packing.WordIds(definition)
+    assert words.of(data) == want and words.of([b""]) == [b""] and words.of([b" ", b"", b"\n"]) == [b""] * 3
+    monkeypatch.setattr(packing, "REMEMBERED", 500)
+    monkeypatch.setattr(packing, "CHUNK", 2000)
+    words = packing.WordIds(definition)
+    assert [words.of([t])[0] for t in data[::7]] == want[::7] and words.of(data) == want
+
+
+def test_packing_unseen_words_are_cheap():
+    """Words that no memory knows take less than the time of the tokeniser itself."""
+    import time
+
+    definition = open(packing.default_vocabulary(), encoding="utf-8").read()
+    words = packing.WordIds(definition)
+    ratios = []
+    for seed in range(3):
+        texts = _syllables(10 + seed, 60_000)
+        began = time.process_time()
+        ids = words.of([t.encode() for t in texts])
+        between = time.process_time()
+        want = words.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ratios.append((between - began) / (time.process_time() - between))
+        assert [len(x) // 2 for x in ids] == [len(e.ids) for e in want]
+    assert min(ratios) < 1, ratios
+
+
+def test_packing_other_vocabulary():
+    """A vocabulary that tells cases apart is not taken apart into lower-case units."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordLevel({"[UNK]": 0, "The": 1, "the": 2, "cat": 3}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    got = packing.WordIds(tokenizer.to_str()).of([b"The cat the", b"", b"the The dog"])
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [[1, 3, 2], [], [2, 1, 0]]
+
+
 def test_packing_plan():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 500, 129)
