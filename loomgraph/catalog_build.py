@@ -264,7 +264,7 @@ def _specifications(spark, sf_dir) -> DataFrame:
     k = F.col("c_custkey").cast("string")
     get = F.concat(F.lit('"get":{"operationId":"get'), k, F.lit('","summary":"Reads","tags":["x","'), F.col("c_mktsegment"), F.lit('"],"parameters":[{"schema":{"$ref":"#/components/schemas/Key"}}],"responses":{"200":{"schema":{"$ref":"#/components/schemas/C'), k, F.lit('"}}}}'))
     text = F.concat(F.lit('{"openapi":"3.0.0","paths":{"/c'), k, F.lit('/{id}":{'), get, F.lit(',"delete":{"responses":{}},"parameters":[]}}}'))
-    return bridge.table(spark, sf_dir, "customer").select(F.concat(F.lit("api/openapi"), k, F.lit(".json")).alias("file"), text.alias("text"))
+    return bridge.dealt(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").select(F.concat(F.lit("api/openapi"), k, F.lit(".json")).alias("file"), text.alias("text"))
 
 
 @query(
@@ -346,7 +346,7 @@ def _sources(spark, sf_dir) -> DataFrame:
         F.lit("public class Client"), n, F.lit('\n{\n    public Task Send(string s)\n    {\n        app.MapPost("'), n, F.lit('/{x:guid}", Client'), n, F.lit('.Send);\n        app.MapGet(s, () => 1);\n        var part = new Part'), n, F.lit('();\n        part.Ship(s);\n        http.PutAsync(Routes.Base + "/'), n, F.lit('");\n        http.DeleteAsync(string.Format("/d/{0}/'), n, F.lit('", s));\n        return http.GetAsync($"/api/{s}/'), n, F.lit('");\n    }\n}\n'),
     )
     base = spark.createDataFrame([("src/App/Base.cs", 'namespace Shop;\npublic class ShopController : ControllerBase { }\npublic static class Routes { const string Root = "/v1"; public const string Base = Root + "/b"; }\n')], "file string, text string")
-    return bridge.table(spark, sf_dir, "customer").select(F.concat(F.lit("src/App/"), n, F.lit(".cs")).alias("file"), text.alias("text")).unionByName(base)
+    return bridge.dealt(spark, sf_dir, "customer", "c_custkey").select(F.concat(F.lit("src/App/"), n, F.lit(".cs")).alias("file"), text.alias("text")).unionByName(base)
 
 
 _HTTP_SCAN = """

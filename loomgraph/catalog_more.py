@@ -111,7 +111,7 @@ def _collections(spark, sf_dir) -> DataFrame:
     k = F.col("c_custkey").cast("string")
     one = F.concat(F.lit('{"name":"one","request":{"method":"get","url":{"raw":"{{base}}/c/'), k, F.lit('/{{part}}"}}}'))
     text = F.concat(F.lit('{"variable":[{"key":"base","value":"https://h:1"}],"item":[{"name":"F","item":['), one, F.lit(']},{"name":"","request":{"method":"PUT","url":{"path":["x","","'), k, F.lit('"]}}},{"name":"none","request":{"method":"GET"}}]}'))
-    return bridge.table(spark, sf_dir, "customer").select(F.concat(F.lit("pm/c"), k, F.lit(".postman_collection.json")).alias("file"), text.alias("text"))
+    return bridge.dealt(spark, sf_dir, "customer", "c_custkey").select(F.concat(F.lit("pm/c"), k, F.lit(".postman_collection.json")).alias("file"), text.alias("text"))
 
 
 @query(

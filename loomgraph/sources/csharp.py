@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from loomgraph.lineage import cut
 
@@ -33,28 +35,52 @@ _NAMESPACE = re.compile(r"\bnamespace\s+([\w.]+)")
 _ATTRIBUTE = re.compile(r"\[\s*([A-Za-z_][\w.]*)\s*(?:\((.*?)\))?\s*\]", re.S)
 _CONSTANT = re.compile(r"\bconst\s+string\s+([A-Za-z_]\w*)\s*=\s*([^;]+);")
 _STRING = re.compile(r'\$?@?"((?:\\.|[^"\\])*)"')
+_MODIFIERS = frozenset("public private protected internal static sealed abstract partial async".split())
+# what a walk over code stops at: strings, brackets of one sort, and what parts arguments and sums
+_MARKS = {"{}": re.compile(r'["{}]'), "()": re.compile(r'["()]'), ",": re.compile(r'[",()\[\]{}]'), "+": re.compile(r'["+()\[\]{}]')}
+_NEWLINE, _NOT_NEWLINE = re.compile("\n"), re.compile(r"[^\n]")
+_MAPPED = re.compile(r"\.\s*(Map(?:Get|Post|Put|Delete|Patch))\s*\(")
+_LAMBDA, _DOTTED = re.compile(r"(?:(?:async|static)\s+)*(?:\([^)]*\)|[A-Za-z_]\w*)\s*=>"), re.compile(r"[\w.]+")
+_SENT = re.compile(r"\.\s*((?:Get|Post|Put|Delete|Patch|Send)Async)\s*(?:<[^>(]*>)?\(")
+_NAME, _PATH = re.compile(r"[A-Za-z_]\w*"), re.compile(r"[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*")
+_MADE, _CREATED = re.compile(r"new\s*[\w.<>]*\s*\("), re.compile(r'CreateClient\s*\(\s*"([^"]*)"[^()]*\)\s*$')
+_PLAIN, _FORMAT = re.compile(r'(\$?@?|@\$)"((?:\\.|""|[^"\\])*)"', re.S), re.compile(r"[\w.]+\.Format\s*\(")
+_USES = (("Calls", re.compile(r"\.\s*([A-Za-z_]\w*)\s*\(")), ("Uses", re.compile(r"\bnew\s+([A-Z]\w*)")), ("Uses", re.compile(r"(?<![\w.])([A-Z]\w*)(?:<[^>]*>)?\s+[a-z_]\w*\s*(?=[=;,)])")))
 
 
 def _without_comments(text: str) -> str:
     """Comments as blanks, so that places stay as they are; strings stay."""
-    return _COMMENT.sub(lambda m: m[1] if m[1] else re.sub(r"[^\n]", " ", m[0]), text)
+    return _COMMENT.sub(lambda m: m[1] if m[1] else _NOT_NEWLINE.sub(" ", m[0]), text)
 
 
 def _close(text: str, at: int, pair: str = "{}") -> int:
     """The place behind the bracket that closes the one at ``at``; strings do not count."""
-    depth, i = 0, at
-    while i < len(text):
-        if text[i] == '"':
-            m = _STRING.match(text, i)
-            i = m.end() if m else i + 1
+    depth, i, mark = 0, at, _MARKS[pair]
+    while m := mark.search(text, i):
+        i = m.end()
+        if m[0] == '"':
+            s = _STRING.match(text, i - 1)
+            i = s.end() if s else i
             continue
-        depth += (text[i] == pair[0]) - (text[i] == pair[1])
-        i += 1
+        depth += 1 if m[0] == pair[0] else -1
         if not depth:
             return i
     return len(text)
 
 
+def _before(text: str, at: int) -> int:
+    """The place behind what stands before ``at``, white space and modifiers passed over."""
+    while True:
+        while at and text[at - 1].isspace():
+            at -= 1
+        i = at
+        while i and (text[i - 1].isalnum() or text[i - 1] == "_"):
+            i -= 1
+        if text[i:at] not in _MODIFIERS:
+            return at
+        at = i
+
+
 @dataclass
 class _Class:
     kind: str
@@ -82,7 +108,7 @@ class Source:
 
     def __init__(self, text: str) -> None:
         self.text = _without_comments(text)
-        self.starts = [0, *(m.end() for m in re.finditer("\n", self.text))]
+        self.starts = [0, *(m.end() for m in _NEWLINE.finditer(self.text))]
         space = _NAMESPACE.search(self.text)
         self.namespace = space[1] if space else ""
         self.classes: list[_Class] = []
@@ -110,20 +136,20 @@ class Source:
 
     def _attributes_before(self, at: int) -> tuple[list[tuple[str, str]], int]:
         """The attributes that stand right before a declaration, modifiers in between, and where they begin (else the declaration)."""
-        head, first = self.text[:at], at
+        text, first = self.text, at
         found: list[tuple[str, str]] = []
         while True:
-            head = re.sub(r"(?:\b(?:public|private|protected|internal|static|sealed|abstract|partial|async)\s*)+$", "", head.rstrip()).rstrip()
-            if not head.endswith("]"):
+            end = _before(text, at)
+            if not end or text[end - 1] != "]":
                 return found[::-1], first
-            depth, i = 0, len(head)
+            depth, i = 0, end
             while i:
                 i -= 1
-                depth += (head[i] == "]") - (head[i] == "[")
+                depth += (text[i] == "]") - (text[i] == "[")
                 if not depth:
                     break
-            found += [(m[1].split(".")[-1].removesuffix("Attribute"), m[2] or "") for m in _ATTRIBUTE.finditer(head[i:])][::-1]
-            head, first = head[:i], i
+            found += [(m[1].split(".")[-1].removesuffix("Attribute"), m[2] or "") for m in _ATTRIBUTE.finditer(text, i, end)][::-1]
+            at = first = i
 
     def place(self, at: int) -> tuple[int, int]:
         line = bisect_right(self.starts, at)
@@ -194,6 +220,11 @@ def _row(at: Source, start: int, end: int, **found) -> dict:
     return {"record": "http", "codes": [], "joined": False, "handler": None, "owner": None, "action": None, "client": None, "base": None} | found | at.span(start, end)
 
 
+def _base(c: _Class) -> str | None:
+    """The simple name of the first base."""
+    return c.bases.split(",")[0].strip().split("<")[0].split(".")[-1] or None
+
+
 def controller_endpoints(text: str | Source) -> list[dict]:
     """Endpoints of controllers: the public methods with a verb of classes that are [ApiController] or come from Controller or ControllerBase; ``base`` names a base
     that is not in this file. A method's own [Route] hides the verb's template, and only its first verb counts."""
@@ -208,7 +239,7 @@ def controller_endpoints(text: str | Source) -> list[dict]:
         if not any(n == "ApiController" for n, _ in m.owner.attributes):
             while at is not None and at.name not in seen:  # up to where the file has no class of the name
                 seen.add(at.name)
-                base = re.sub(r"<.*", "", at.bases.split(",")[0].strip()).split(".")[-1] or None
+                base = _base(at)
                 at = known.get(base or "")
             if base is None or base in seen:
                 continue
@@ -230,7 +261,7 @@ def minimal_endpoints(text: str | Source) -> list[dict]:
     """Endpoints mapped by MapGet and its like, on any receiver, with two arguments or more; a route that is no constant is ``unknown``. The handler is a lambda, or a
     method by its name."""
     source, out = text if isinstance(text, Source) else Source(text), []
-    for m in re.finditer(r"\.\s*(Map(?:Get|Post|Put|Delete|Patch))\s*\(", source.text):
+    for m in _MAPPED.finditer(source.text):
         end = _close(source.text, m.end() - 1, "()")
         arguments = _split(source.text[m.end() : end - 1])
         if len(arguments) < 2:
@@ -239,45 +270,37 @@ def minimal_endpoints(text: str | Source) -> list[dict]:
         route = "unknown" if sure != "high" else value
         handler = arguments[1].strip()
         at = m.end() + len(arguments[0]) + 1 + len(arguments[1]) - len(arguments[1].lstrip())
-        kind = "lambda" if re.match(r"(?:(?:async|static)\s+)*(?:\([^)]*\)|[A-Za-z_]\w*)\s*=>", handler) else "name" if re.fullmatch(r"[\w.]+", handler) else None
+        kind = "lambda" if _LAMBDA.match(handler) else "name" if _DOTTED.fullmatch(handler) else None
         named = f"lambda:{source.place(at)[0]}" if kind == "lambda" else handler if kind else None
         route = "/" if not route.strip() else _unconstrained(route if route.startswith(("/", "\x01")) else "/" + route)
         out.append(_row(source, source.receiver(m.start()), end, scanner="minimal-api", method=MAP_METHODS[m[1]], route=route, source=named, handler=kind, confidence="low" if sure != "high" else "high"))
     return out
 
 
+def _parts(text: str, at: str) -> list[str]:
+    """The parts of a text between the signs ``at`` of the outermost level; strings do not count."""
+    parts, depth, last, i, mark = [], 0, 0, 0, _MARKS[at]
+    while m := mark.search(text, i):
+        c, i = m[0], m.end()
+        if c == '"':
+            s = _STRING.match(text, i - 1)
+            i = s.end() if s else i
+        elif c != at:
+            depth += 1 if c in "([{" else -1
+        elif not depth:
+            parts.append(text[last : i - 1])
+            last = i
+    return [*parts, text[last:]]
+
+
 def _split(arguments: str) -> list[str]:
     """Arguments at commas of the outermost level."""
-    parts, depth, last, i = [], 0, 0, 0
-    while i < len(arguments):
-        c = arguments[i]
-        if c == '"':
-            m = _STRING.match(arguments, i)
-            i = m.end() if m else i + 1
-            continue
-        depth += (c in "([{") - (c in ")]}")
-        if c == "," and not depth:
-            parts.append(arguments[last:i])
-            last = i + 1
-        i += 1
-    return [*parts, arguments[last:]] if arguments.strip() else []
+    return _parts(arguments, ",") if arguments.strip() else []
 
 
 def _added(expression: str) -> list[str]:
     """The operands of + at the outermost level."""
-    parts, depth, last, i = [], 0, 0, 0
-    while i < len(expression):
-        c = expression[i]
-        if c == '"':
-            m = _STRING.match(expression, i)
-            i = m.end() if m else i + 1
-            continue
-        depth += (c in "([{") - (c in ")]}")
-        if c == "+" and not depth:
-            parts.append(expression[last:i])
-            last = i + 1
-        i += 1
-    return [*parts, expression[last:]]
+    return _parts(expression, "+")
 
 
 class Url:
@@ -295,17 +318,17 @@ class Url:
         return *self._one(operands[0]), False
 
     def _one(self, e: str) -> tuple[str, str]:
-        plain = re.fullmatch(r'(\$?@?|@\$)"((?:\\.|""|[^"\\])*)"', e, re.S)
+        plain = _PLAIN.fullmatch(e)
         if plain and "$" not in plain[1]:
             return plain[2].replace('""', '"') if "@" in plain[1] else re.sub(r"\\(.)", r"\1", plain[2]), "high"
         if plain:
             return ("unknown", "low") if self.constant else (re.sub(r"\{[^{}]+\}", "{var}", plain[2]), "high")
-        called = re.match(r"[\w.]+\.Format\s*\(", e)
+        called = _FORMAT.match(e)
         if called and _close(e, called.end() - 1, "()") == len(e) and not self.constant:
             arguments = _split(e[called.end() : -1])
             text = re.fullmatch(r'@?"((?:\\.|[^"\\])*)"', arguments[0].strip()) if len(arguments) > 1 else None
             return (re.sub(r"\{[0-9]+\}", "{var}", text[1]), "high") if text else ("unknown", "low")
-        if re.fullmatch(r"[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*", e):
+        if _PATH.fullmatch(e):
             path = re.split(r"\s*\.\s*", e)
             owner = path[-2] if len(path) > 1 else self.owner.name if self.owner else ""
             value = self.source.constants.get((owner, path[-1])) if hasattr(self.source, "constants") else None
@@ -331,7 +354,7 @@ def _unresolved(template: str, sure: str, joined: bool) -> tuple[str, str]:
 def client_calls(text: str | Source) -> list[dict]:
     """Calls by HttpClient methods, on any receiver; the url of SendAsync is that of a request made there or in a variable of the method."""
     source, out = text if isinstance(text, Source) else Source(text), []
-    for m in re.finditer(r"\.\s*((?:Get|Post|Put|Delete|Patch|Send)Async)\s*(?:<[^>(]*>)?\(", source.text):
+    for m in _SENT.finditer(source.text):
         end = _close(source.text, m.end() - 1, "()")
         arguments = _split(source.text[m.end() : end - 1])
         caller = source.method_at(m.start())
@@ -339,17 +362,17 @@ def client_calls(text: str | Source) -> list[dict]:
         expression = arguments[0].strip() if arguments else ""
         if m[1] == "SendAsync":
             made = expression
-            if re.fullmatch(r"[A-Za-z_]\w*", expression):
+            if _NAME.fullmatch(expression):
                 found = re.search(rf"\b{expression}\s*=\s*(?=new\b)", body)
                 made = body[found.end() :] if found else ""
-            opened = re.match(r"new\s*[\w.<>]*\s*\(", made)
+            opened = _MADE.match(made)
             inner = _split(made[opened.end() : _close(made, opened.end() - 1, "()") - 1]) if opened else []
             expression = inner[1] if len(inner) > 1 else ""
         url, sure, joined = Url(source, source.class_at(m.start())).of(expression)
         start = source.receiver(m.start())
         receiver = source.text[start : m.start()].strip()
-        client = re.search(r'CreateClient\s*\(\s*"([^"]*)"[^()]*\)\s*$', receiver)
-        if client is None and re.fullmatch(r"[A-Za-z_]\w*", receiver):
+        client = _CREATED.search(receiver)
+        if client is None and _NAME.fullmatch(receiver):
             client = re.search(rf'\b{receiver}\s*=\s*[\w.]*CreateClient\s*\(\s*"([^"]*)"', body)
         caller_name = source.full_name(caller) if caller else None
         out.append(_row(source, start, end, scanner="http-client", method=CLIENT_METHODS[m[1]], route=url, source=caller_name, handler="method" if caller else None, confidence=sure, joined=joined, client=client[1] if client else None))
@@ -361,8 +384,8 @@ def uses(text: str) -> list[dict]:
     source, out = Source(text), []
     for m in source.methods:
         body = _STRING.sub(lambda s: " " * len(s[0]), source.text[m.start : m.end])
-        for kind, pattern in (("Calls", r"\.\s*([A-Za-z_]\w*)\s*\("), ("Uses", r"\bnew\s+([A-Z]\w*)"), ("Uses", r"(?<![\w.])([A-Z]\w*)(?:<[^>]*>)?\s+[a-z_]\w*\s*(?=[=;,)])")):
-            for x in re.finditer(pattern, body):
+        for kind, pattern in _USES:
+            for x in pattern.finditer(body):
                 line, col = source.place(m.start + x.start(1))
                 out.append({"kind": kind, "source": source.full_name(m), "name": x[1], "line": line, "col": col, "end_col": col + len(x[1])})
     return out
@@ -378,6 +401,8 @@ def is_generated(file, text):
     return out
 
 
+#: Files whose finds go back to Spark at once.
+_BATCH = 256
 #: What one pass over the files gives: HTTP endpoints and calls (record http), constants, classes and methods that others may refer to.
 _RECORDS = (
     "file string, record string, scanner string, method string, route string, source string, handler string, owner string, action string, client string, confidence string, joined boolean, codes array<int>, base string, "
@@ -385,23 +410,35 @@ _RECORDS = (
 )
 
 
+def _scanned(files: DataFrame, found: Callable[[str, str], Iterable[dict]], ddl: str) -> DataFrame:
+    """What a function finds in each of the C# files in (file, text): dicts of the columns of ddl, those that are not there null. Few files at a time go back to Spark."""
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BATCH):
+                part = batch.slice(at, _BATCH)
+                rows = [r for f, t in zip(part["file"].to_pylist(), part["text"].to_pylist(), strict=True) for r in found(f, t)]
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(c.name) for r in rows], c.type) for c in schema], schema=schema)
+
+    return _sources(files).mapInArrow(run, ddl)
+
+
 def records(files: DataFrame) -> DataFrame:
     """Everything that one scan of the C# files in (file, text) finds, generated ones aside, written once: the plans that use it do not scan again."""
-    columns = [c.split()[0] for c in _RECORDS.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for f, t in zip(batch["file"], batch["text"], strict=True):
-                s = Source(t)
-                rows += [{"file": f} | r for r in (*controller_endpoints(s), *minimal_endpoints(s), *client_calls(s))]
-                rows += [{"file": f, "record": "constant", "owner": o, "action": n, "route": v} for (o, n), v in s.constants.items()]
-                rows += [{"file": f, "record": "class", "owner": c.name, "base": re.sub(r"<.*", "", c.bases.split(",")[0].strip()).split(".")[-1] or None, "joined": any(n == "ApiController" for n, _ in c.attributes)} for c in s.classes]
-                rows += [{"file": f, "record": "method", "owner": m.owner.name, "action": m.name, "source": s.full_name(m)} | s.span(m.start, m.end) for m in s.methods]
-            whole = [dict.fromkeys(columns) | r for r in rows]  # None, not NaN, where there is nothing
-            yield pd.DataFrame({c: pd.Series([r[c] for r in whole], dtype="Int32" if c in ("line", "col", "end_line", "end_col") else "object") for c in columns})
+    def found(file: str, text: str) -> Iterator[dict]:
+        s = Source(text)
+        for r in (*controller_endpoints(s), *minimal_endpoints(s), *client_calls(s)):
+            yield r | {"file": file}
+        for (owner, name), value in s.constants.items():
+            yield {"file": file, "record": "constant", "owner": owner, "action": name, "route": value}
+        for c in s.classes:
+            yield {"file": file, "record": "class", "owner": c.name, "base": _base(c), "joined": any(n == "ApiController" for n, _ in c.attributes)}
+        for m in s.methods:
+            yield {"file": file, "record": "method", "owner": m.owner.name, "action": m.name, "source": s.full_name(m)} | s.span(m.start, m.end)
 
-    return cut(_sources(files).mapInPandas(run, _RECORDS))
+    return cut(_scanned(files, found, _RECORDS))
 
 
 def controllers_by_base(found: DataFrame) -> DataFrame:
@@ -422,8 +459,10 @@ def resolved(found: DataFrame) -> DataFrame:
     http = found.where("record = 'http'")
     if not http.where("base is not null").isEmpty():
         http = http.where("base is null").unionByName(http.where("base is not null").join(controllers_by_base(found).select(F.col("name").alias("base")), "base", "left_semi").select(http.columns))
-    if not http.where(F.col("route").contains("\x01")).isEmpty():
-        # each name once, then all values of a route in one map
+    named = F.coalesce(F.col("route").contains("\x01"), F.lit(False))
+    if not http.where(named).isEmpty():
+        # each name once, then all values of a route in one map; routes without a name, most of them and often the same, stay where they are
+        plain, http = http.where(~named), http.where(named)
         names = http.select("route", F.explode(F.array_distinct(F.regexp_extract_all("route", F.lit("\x01([^\x02]*)\x02"), F.lit(1)))).alias("name")).distinct()
         constants = found.where("record = 'constant'").groupBy(F.concat_ws(".", "owner", "action").alias("name")).agg(F.min("route").alias("value"))
         values = names.join(constants, "name", "left").groupBy("route").agg(F.collect_list(F.struct("name", "value")).alias("values"))  # of one route
@@ -434,15 +473,16 @@ def resolved(found: DataFrame) -> DataFrame:
         mapped = F.col("scanner") == "minimal-api"
         sure = F.when(lost & (~F.col("joined") | mapped), "low").when(lost, "medium").otherwise(F.col("confidence"))
         whole = F.when(mapped & lost, F.lit("/unknown")).when(mapped & ~template.startswith("/"), F.concat(F.lit("/"), template)).otherwise(template)
-        http = joined.withColumn("confidence", sure).withColumn("route", whole).select(http.columns)
+        http = plain.unionByName(joined.withColumn("confidence", sure).withColumn("route", whole).select(http.columns))
     path = F.split("source", r"\.")
     called = http.where("handler = 'name'").withColumn("__owner", F.when(F.size(path) > 1, F.element_at(path, -2))).withColumn("__action", F.element_at(path, -1))
-    methods = found.where("record = 'method'").select(F.col("file").alias("m_file"), F.col("owner").alias("m_owner"), F.col("action").alias("__action"), F.col("source").alias("m_source"))
-    # by class and name; a bare name only within its file
-    fits = (F.col("m_owner") == F.col("__owner")) | (F.col("__owner").isNull() & (F.col("m_file") == F.col("file")))
-    key = ["file", "line", "col", "method", "route"]
-    best = called.join(methods, "__action").where(fits).groupBy(*key).agg(F.min("m_source").alias("m_source"))
-    handled = called.join(best, key, "left").withColumn("source", F.col("m_source")).select(http.columns)
+    methods = found.where("record = 'method'")
+    # by class and name; a bare name only within its file. Each has one method, the least, so no handler meets all methods of its name
+    of_class = methods.groupBy(F.col("owner").alias("__owner"), F.col("action").alias("__action")).agg(F.min("source").alias("__source"))
+    of_file = methods.groupBy("file", F.col("action").alias("__action")).agg(F.min("source").alias("__source"))
+    by_class = called.where("__owner is not null").join(of_class, ["__owner", "__action"], "left")
+    by_file = called.where("__owner is null").join(of_file, ["file", "__action"], "left")
+    handled = by_class.unionByName(by_file).withColumn("source", F.col("__source")).select(http.columns)
     return http.where("handler is null or handler <> 'name'").unionByName(handled)
 
 
@@ -456,12 +496,7 @@ def scan_uses(files: DataFrame, symbols: DataFrame) -> DataFrame:
     where several symbols share the name."""
     ddl = "file string, kind string, source string, name string, line int, col int, end_col int"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [{"file": f} | r for f, t in zip(batch["file"], batch["text"], strict=True) for r in uses(t)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ddl.split(", ")])
-
-    found = _sources(files).mapInPandas(run, ddl)
+    found = _scanned(files, lambda f, t: ({"file": f} | r for r in uses(t)), ddl)
     known = symbols.select("symbol_id", F.when(F.col("kind") == "Method", "Calls").otherwise("Uses").alias("kind"), "name")
     several = known.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
     return found.join(known, ["kind", "name"]).join(several, ["kind", "name"]).select("file", "source", F.col("kind").alias("usage"), "symbol_id", "line", "col", "end_col", F.when(F.col("n") > 1, "low").otherwise("medium").alias("confidence"))
