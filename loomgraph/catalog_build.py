@@ -203,7 +203,7 @@ def _scripts(spark, sf_dir) -> DataFrame:
     """A script for each page, with a fetch, a fetch of a template and two axios calls of its url."""
     q = F.col("url")
     text = F.concat(F.lit("// calls\nfetch('"), q, F.lit("', { method: 'put' })\nfetch(`"), q, F.lit("/${x}`); axios.get(\""), q, F.lit("\")\nAXIOS.Post(`/a/${b}/"), F.col("page_id").cast("string"), F.lit("`)"))
-    return bridge.table(spark, sf_dir, "pages").select(F.concat(F.lit("web/"), F.col("page_id").cast("string"), F.lit(".ts")).alias("file"), text.alias("text"))
+    return bridge.dealt(spark, sf_dir, "pages", "page_id", "url").select(F.concat(F.lit("web/"), F.col("page_id").cast("string"), F.lit(".ts")).alias("file"), text.alias("text"))
 
 
 @query(
@@ -217,7 +217,8 @@ def js_scan(spark, sf_dir):
 
 @query("SELECT left(sha256('web/' || page_id || '.ts'), 8) AS version, count(*) AS n FROM pages, range(4) GROUP BY page_id")
 def js_call_sites(spark, sf_dir):
-    return script.nodes(script.scan(_scripts(spark, sf_dir))).groupBy("version").agg(F.count(F.lit(1)).alias("n"))
+    # by file: among very many files some share the eight digits of their hash
+    return script.nodes(script.scan(_scripts(spark, sf_dir))).groupBy("version", F.col("source_refs")[0]["file"].alias("file")).agg(F.count(F.lit(1)).alias("n")).select("version", "n")
 
 
 @query("SELECT page_id, regexp_replace(url, '[0-9]+', '{var}', 'g') AS template FROM pages")

@@ -16,16 +16,21 @@ def _unit(code: Column) -> Column:
 
 def escape(segment: Column) -> Column:
     """Trims, keeps [A-Za-z0-9._+-] and writes every other UTF-16 code unit as ~ and four hex digits. Null for a blank segment."""
-    text = F.trim(segment, F.lit(WHITE))
 
-    def one(c: Column) -> Column:
+    def unit(c: Column) -> Column:
         code = F.ascii(c)
         above = code - F.lit(0x10000)
         pair = F.concat(_unit(F.lit(0xD800) + F.shiftright(above, 10)), _unit(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))))
-        return F.when(c.rlike(r"\A[A-Za-z0-9._+-]\z"), c).when(code > 0xFFFF, pair).otherwise(_unit(code))
+        return F.when(code > 0xFFFF, pair).otherwise(_unit(code))
 
-    # text made of safe characters alone, the usual case, skips the walk over its characters
-    return F.when(text == "", F.lit(None)).when(text.rlike(r"\A[A-Za-z0-9._+-]+\z"), text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+    def whole(text: Column) -> Column:
+        # each different character once, the ~ of the escapes first; text made of safe characters alone, the usual case, skips that
+        others = F.array_distinct(F.regexp_extract_all(text, F.lit("([^A-Za-z0-9._+~-])"), F.lit(1)))
+        escaped = F.aggregate(others, F.replace(text, F.lit("~"), F.lit("~007E")), lambda t, c: F.replace(t, c, unit(c)))
+        return F.when(text == "", F.lit(None)).when(text.rlike(r"\A[A-Za-z0-9._+-]+\z"), text).otherwise(escaped)
+
+    # named once: an expression that stands in a plan many times over makes code that is too long to compile
+    return F.get(F.transform(F.array(F.trim(segment, F.lit(WHITE))), whole), F.lit(0))
 
 
 def node_id(kind: Column | str, fqn: Column, version: Column) -> Column:
