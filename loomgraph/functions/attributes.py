@@ -11,7 +11,8 @@ from loomgraph.schema import WHITE
 def text(attributes: Column, key: str) -> Column:
     """A string attribute; null if it is missing or not a string."""
     raw = F.try_element_at(attributes, F.lit(key))
-    return F.when(raw.startswith('"'), F.get_json_object(raw, "$"))
+    # a text without escapes, the usual case, is what stands between its quotes
+    return F.when(raw.rlike(r'\A"[^"\\\x00-\x1f]*"\z'), F.substr(raw, F.lit(2), F.length(raw) - 2)).when(raw.startswith('"'), F.get_json_object(raw, "$"))
 
 
 def flag(attributes: Column, key: str) -> Column:

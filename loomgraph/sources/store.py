@@ -28,7 +28,7 @@ def inside(root: str, relative: str) -> str:
 
 
 #: Rows of a file of a stored graph, about.
-FILE_ROWS = 1_000_000
+FILE_ROWS = 500_000
 
 
 def _by_kind(df: DataFrame, key: str, *order: str) -> DataFrame:
